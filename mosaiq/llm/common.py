@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 WHITE = " \t\n\x0b\f\r"
@@ -71,7 +72,7 @@ def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
         edges = [0, *cuts.tolist(), b.num_rows]
         for a, z in zip(edges, edges[1:], strict=False):
