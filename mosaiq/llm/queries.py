@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import exact_dedup, secrets, url_filter
+from mosaiq.llm import decontaminate, exact_dedup, language, mixing, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_language_id": language.op7_language_id,
+    "op8_mixing": mixing.op8_mixing,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL}
+ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
