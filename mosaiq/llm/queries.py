@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import decontaminate, exact_dedup, language, mixing, secrets, url_filter
+from mosaiq.llm import decontaminate, exact_dedup, language, mixing, secrets, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_warc": warc.op6_warc,
     "op7_language_id": language.op7_language_id,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
+ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
