@@ -32,32 +32,26 @@ MARK = "\x00"
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.translate(F.coalesce(text, F.lit("")), *LOWER), BETWEEN)
+    """The words, with an empty one before or after them where the text does not begin or end with a word.
 
-
-def _trimmed(w: str) -> Column:
-    """split() leaves an empty word at a text's ends where no word stands there."""
-    return F.expr(f"slice({w}, if({w}[0] = '', 2, 1), size({w}) - if({w}[0] = '', 1, 0) - if(size({w}) > 1 AND {w}[size({w}) - 1] = '', 1, 0))")
-
-
-def with_words(df: DataFrame, *keep: str | Column) -> DataFrame:
-    return df.select(*keep, words_of(F.col("text")).alias("raw")).select(*keep_names(df, keep), _trimmed("raw").alias("words"))
-
-
-def keep_names(df: DataFrame, keep: tuple[str | Column, ...]) -> list[str]:
-    return df.select(*keep).columns
+    Those empty ones fit no window, so nothing trims them in the scan of all documents."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.length(text) == F.octet_length(text)  # lower() folds more than A-Z, but not in ASCII, where it is faster
+    return F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, *LOWER)), BETWEEN)
 
 
 def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
     """window (array of words) and items: the distinct windows of benchmark(item_id, text)."""
-    w = with_words(benchmark.filter("item_id IS NOT NULL"), "item_id").filter("size(words) > 0")
+    words = F.filter(words_of(F.col("text")), lambda w: w != "")
+    w = benchmark.filter("item_id IS NOT NULL").select("item_id", words.alias("words")).filter("size(words) > 0")
     return (w.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {size}, 0)), i -> slice(words, i + 1, {size}))")).alias("window"))
             .groupBy("window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, n: how often each word of vocabulary(word) stands in all documents."""
-    return (with_words(docs).select(F.explode("words").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")))
+    # explode() would make Spark infer a filter on the array's size and split each text twice.
+    return (docs.select(F.explode_outer(words_of(F.col("text"))).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")))
 
 
 def prefix_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -76,13 +70,13 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     listed = windows.select("token", "offset", "window", "items").unionByName(
         windows.sparkSession.range(1).select(F.lit(MARK).alias("token"), F.lit(0).alias("offset"), mark.alias("window"), none.alias("items")))
-    d = with_words(docs, "doc_id", F.xxhash64("text").alias("key"))
-    d = d.select("doc_id", "key", F.concat("words", mark).alias("words"))
-    at = d.select("doc_id", "key", "words", F.posexplode("words").alias("pos", "token"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("key"), F.concat(words_of(F.col("text")), mark).alias("words"))
+    at = d.select("doc_id", "key", "words", F.posexplode_outer("words").alias("pos", "token"))
     fits = F.expr("pos >= offset AND pos - offset + size(window) <= size(words) AND slice(words, pos - offset + 1, size(window)) = window")
     found = at.join(F.broadcast(listed), "token").filter(fits)
     is_mark = F.col("token") == MARK
-    return (found.select("doc_id", "key", F.when(is_mark, F.col("pos")).alias("n"),
+    n_words = F.expr("pos - if(words[0] = '', 1, 0) - if(pos > 1 AND words[pos - 1] = '', 1, 0)")
+    return (found.select("doc_id", "key", F.when(is_mark, n_words).alias("n"),
                          F.when(~is_mark, F.struct((F.col("pos") - F.col("offset")).alias("start"), F.size("window").alias("length"), "items")).alias("hit"))
             .groupBy("doc_id", "key").agg(F.count("n").alias("copies"), F.max("n").alias("n_words"), F.collect_set("hit").alias("hits")))
 
