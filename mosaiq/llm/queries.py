@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import decontaminate, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, url_filter, warc
+from mosaiq.llm import decontaminate, exact_dedup, language, mixing, ngram_join, secrets, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_language_id": language.op7_language_id,
