@@ -82,7 +82,8 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, n_hit, items (sorted ids as strings), contaminated."""
+    """Per row of docs(doc_id, text): doc_id, n_words, n_hit, items (sorted ids as strings), contaminated, text_key
+    (xxhash64 of the text)."""
     spark = docs.sparkSession
     stage = Stage(spark, "decontaminate")
     docs = docs.select("doc_id", "text")
@@ -99,8 +100,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     covered = F.expr("""aggregate(sort_array(hits), named_struct('n', 0, 'end', 0),
         (a, h) -> named_struct('n', a.n + greatest(0, h.start + h.length - greatest(h.start, a.end)), 'end', greatest(a.end, h.start + h.length)), a -> a.n)""")
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return (found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), items.alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-            .select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated")))
+    return (found.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), items.alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+            .select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"), F.col("key").alias("text_key")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,11 +88,11 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs(doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, text_sha256 and text_key (xxhash64 of the raw text) of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     stage = Stage(spark, "exact-dedup")
-    text = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    base = stage.keep(text.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.xxhash64("norm").alias("fp"),
+    text = docs.select("doc_id", normalised(F.col("text")).alias("norm"), F.xxhash64("text").alias("text_key"))
+    base = stage.keep(text.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.xxhash64("norm").alias("fp"), "text_key",
                                   F.monotonically_increasing_id().alias("row")))
     repeated = stage.keep(repeated_fingerprints(base, base.count()))
     verified = (text.withColumn("fp", F.xxhash64("norm")).join(repeated.select("fp"), "fp", "left_semi")
@@ -107,11 +107,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
                     F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
                     (F.col("size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep")) & F.coalesce(F.col("row") == F.col("first"), F.lit(True)))).alias("kept"),
-                    "text_sha256"))
+                    "text_sha256", "text_key"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 OP2_SQL = r"""

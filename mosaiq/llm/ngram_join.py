@@ -297,7 +297,7 @@ def walk(own: np.ndarray, sets: list[tuple[int, np.ndarray]], percent: int, stri
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs(doc_id: long, text): the smallest doc_id that links lead to.
 
-    Two documents link if 100 * overlap >= percent * union of their sets of `size`-word n-grams."""
+    group names the component also where ids are null or repeated; text_key is xxhash64 of the text.  Two documents link if 100 * overlap >= percent * union of their sets of `size`-word n-grams."""
     spark = docs.sparkSession
     stage = Stage(spark, "ngram-join")
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("key"), "doc_id", "text")
@@ -323,11 +323,12 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
             labels = components(links, stage)
     named = same.join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "first", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
-    named = named.join(least, "label").select("s1", "s2", "n", "component")
+    named = named.join(least, "label").select("s1", "s2", "n", "label", "component")
     own = F.coalesce("component", "did")
-    return (rows.select("did", "doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(own != LAST, own).alias("component_id")))
+    return (rows.select("nid", "did", "key", "doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(own != LAST, own).alias("component_id"), F.coalesce("label", "nid").alias("group"), F.col("key").alias("text_key")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), size=4, percent=85)
+    out = ngram_components(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), size=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
