@@ -1,4 +1,8 @@
-"""All queries over the given tables, and their DuckDB counterparts."""
+"""All queries over the given tables, and their DuckDB counterparts.
+
+Each query applies library operators to whole tables.  Doubles are rounded and lists joined to texts, so that
+both engines' results can be compared by value.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions import dates, text, urls
+from mosaiq.operators import browse, merge, places, recommend, similarity, suppress
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -15,14 +22,264 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocab_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "customer").filter("c_acctbal > 0").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return (table(spark, sf_dir, "nation").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-            .select("n_nationkey", "n_name", F.coalesce("n", F.lit(0)).alias("n")))
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
+    return add
 
-QUERIES["vocab_counts_zero_filled"] = vocab_counts_zero_filled
-ORACLES["vocab_counts_zero_filled"] = """
-SELECT n_nationkey, n_name, count(c_custkey) AS n
-FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY ALL
-"""
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY ALL")
+def vocab_counts_zero_filled(spark, sf_dir):
+    vocabulary = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("sort_ord"))
+    rows = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    out = browse.counts_with_vocabulary(rows, F.array(F.col("c_nationkey").cast("string")), vocabulary)
+    return out.select(F.col("id").cast("int").alias("n_nationkey"), F.col("label").alias("n_name"), "n")
+
+
+@query("""SELECT coalesce(r_name, 'Other') AS region, count(*) AS n, round(sum(c_acctbal), 2) AS balance
+FROM customer LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON c_nationkey = n_nationkey GROUP BY ALL""")
+def region_rollup_with_other(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").filter("r_name <> 'ASIA'")
+    dim = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    rows = table(spark, sf_dir, "customer").join(dim, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return rows.groupBy(F.coalesce("r_name", F.lit("Other")).alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)""")
+def anti_join_blocklist(spark, sf_dir):
+    blocked = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select("c_custkey")
+    return suppress.block(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), blocked, F.col("o_custkey"), "c_custkey")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' OR (c_custkey = 7 AND c_mktsegment IS NOT NULL) THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer""")
+def suppress_field_wildcard(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    seventh = customer.filter("c_custkey = 7").select(F.lit("7").alias("group"), F.lit("c_mktsegment").alias("field"), F.col("c_mktsegment").alias("value"))
+    rules = spark.createDataFrame([("*", "c_mktsegment", "MACHINERY"), ("*", "c_nationkey", "3")], "group string, field string, value string").unionByName(seventh)
+    return suppress.suppress_fields(customer, rules, "c_custkey", ["c_mktsegment", "c_nationkey"])
+
+
+@query("""SELECT key, 'left' AS side FROM (SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
+UNION ALL SELECT key, 'right' AS side FROM (SELECT l_partkey AS key FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT p_partkey FROM part)""")
+def key_sets_symmetric_diff(spark, sf_dir):
+    left = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    return browse.key_differences(left, table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("key")), "key")
+
+
+@query("""SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS values, count(*) AS n_rows FROM events GROUP BY user_id""")
+def consolidate_by_key(spark, sf_dir):
+    return merge.consolidated_text(table(spark, sf_dir, "events"), "user_id", F.col("event_type"))
+
+
+@query("""WITH e AS (SELECT o_custkey, unnest(['o_orderkey', CASE WHEN o_totalprice > 100000 THEN 'o_totalprice' END, 'o_' || lower(o_orderstatus)]) AS field FROM orders)
+SELECT field, count(*) AS n FROM e WHERE field IS NOT NULL GROUP BY field""")
+def provenance_field_counts(spark, sf_dir):
+    fields = F.array_compact(F.array(F.lit("o_orderkey"), F.when(F.col("o_totalprice") > 100000, F.lit("o_totalprice")), F.concat(F.lit("o_"), F.lower("o_orderstatus"))))
+    records = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.lit("orders").alias("url"), fields.alias("fields"))).alias("sources"))
+    return merge.provenance_counts(records)
+
+
+@query("SELECT count(o_orderkey) AS n, count(DISTINCT o_orderkey) AS n_distinct, count(o_orderkey) = count(DISTINCT o_orderkey) AS is_unique FROM orders")
+def unique_key_check(spark, sf_dir):
+    return browse.uniqueness(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+def _brands(spark, sf_dir):
+    """Customers with the set of brands of what they ordered: the shape of a group with its tags."""
+    orders, lines, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    tags = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("o_custkey").agg(F.collect_set("p_brand").alias("tags")))
+    none = F.array().cast("array<string>")
+    return (table(spark, sf_dir, "customer").join(tags, F.col("c_custkey") == F.col("o_custkey"), "left")
+            .select(F.col("c_custkey").alias("id"), F.coalesce("tags", none).alias("tags"), F.array(F.col("c_nationkey").cast("string")).alias("families"),
+                    none.alias("roles"), none.alias("formats"), none.alias("motives"), none.alias("crowd"), F.col("c_mktsegment").alias("kind"),
+                    F.when(F.col("c_acctbal") > 5000, F.lit("large")).when(F.col("c_acctbal") > 0, F.lit("")).alias("size"), F.lit(None).cast("string").alias("commitment")))
+
+
+_TAGS = """tags AS (SELECT o_custkey, list(DISTINCT p_brand) AS tags FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey),
+g AS (SELECT c_custkey AS id, coalesce(tags, []) AS tags, c_nationkey AS nation, c_mktsegment AS kind, CASE WHEN c_acctbal > 5000 THEN 'large' WHEN c_acctbal > 0 THEN '' END AS size
+      FROM customer LEFT JOIN tags ON c_custkey = o_custkey)"""
+_JACCARD = "CASE WHEN len(a.tags) > 0 AND len(b.tags) > 0 THEN len(list_intersect(a.tags, b.tags)) / len(list_distinct(list_concat(a.tags, b.tags))) END"
+_SCORED = f"""WITH {_TAGS}, f AS (
+  SELECT a.id, b.id AS liked_id, {_JACCARD} AS j, CAST(a.nation = b.nation AS DOUBLE) AS fam, CAST(a.kind IS NOT DISTINCT FROM b.kind AS DOUBLE) AS k,
+         CASE WHEN a.size <> '' AND b.size <> '' THEN CAST(a.size = b.size AS DOUBLE) END AS s
+  FROM g a JOIN g b ON a.id <> b.id AND b.id <= 5),
+scored AS (SELECT id, liked_id, (0.3 * coalesce(j, 0) + 0.15 * fam + 0.1 * k + 0.05 * coalesce(s, 0))
+  / (CASE WHEN j IS NULL THEN 0 ELSE 0.3 END + 0.15 + 0.1 + CASE WHEN s IS NULL THEN 0 ELSE 0.05 END) AS score FROM f)"""
+
+
+@query(f"WITH {_TAGS} SELECT a.id, b.id AS liked_id, round({_JACCARD}, 6) AS score FROM g a JOIN g b ON a.id <> b.id AND b.id <= 5")
+def jaccard_pairs(spark, sf_dir):
+    groups = _brands(spark, sf_dir).select("id", "tags")
+    liked = groups.filter("id <= 5").select(F.col("id").alias("liked_id"), F.col("tags").alias("liked_tags"))  # at most 5 rows
+    pairs = groups.join(F.broadcast(liked), F.col("id") != F.col("liked_id"))
+    return pairs.select("id", "liked_id", F.round(similarity.jaccard(F.col("tags"), F.col("liked_tags")), 6).alias("score"))
+
+
+@query(_SCORED + " SELECT id, liked_id, round(score, 6) AS score FROM scored")
+def weighted_similarity(spark, sf_dir):
+    groups = _brands(spark, sf_dir)
+    return similarity.scores(groups, groups.filter("id <= 5")).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORED + """, best AS (SELECT id, round(max(score), 6) AS score FROM scored GROUP BY id)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM best QUALIFY rank BETWEEN 6 AND 25""")
+def top_k_liked_similarity(spark, sf_dir):
+    groups = _brands(spark, sf_dir)
+    best = similarity.scores(groups, groups.filter("id <= 5")).groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
+    return recommend.page(best, F.col("score"), 6, 20)
+
+
+@query("""SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 3""")
+def variety_cap_topk(spark, sf_dir):
+    return recommend.top_k_per(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", F.col("p_retailprice"), 3, "p_partkey")
+
+
+@query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part)
+WHERE r <= 2 ORDER BY p_retailprice DESC, p_partkey LIMIT 10""")
+def diversified_top_k(spark, sf_dir):
+    return recommend.capped(table(spark, sf_dir, "part"), "p_brand", F.col("p_retailprice"), 2, 10, "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("""WITH l AS (SELECT p_partkey, CASE WHEN p_size > 49 AND p_retailprice > 1e9 THEN 0 WHEN p_size > 49 THEN 1 ELSE 2 END AS level FROM part)
+SELECT p_partkey, level FROM l WHERE level = (SELECT min(level) FROM l)""")
+def relax_ladder(spark, sf_dir):
+    return recommend.relaxed(table(spark, sf_dir, "part"), [F.col("p_size") > 49, F.col("p_retailprice") > 1e9]).select("p_partkey", "level")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugify(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
+
+
+@query("""WITH s AS (SELECT c_custkey, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CAST(c_nationkey AS VARCHAR) AS zip FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY c_custkey) AS n FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY slug, zip, n = 1 ORDER BY c_custkey) AS again FROM n)
+SELECT c_custkey, CASE WHEN n = 1 THEN slug WHEN again = 1 THEN slug || '-' || zip ELSE slug || '-' || zip || '-' || again END AS id FROM m""")
+def slug_dedupe_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.lit(None).cast("string").alias("id"), "c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("zip"))
+    return merge.new_ids(rows, F.col("c_mktsegment"), F.col("zip"), F.col("c_custkey")).select("c_custkey", "id")
+
+
+_STRIP = """nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#039;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '[\\s' || chr(160) || ']+', ' ', 'g')), '')"""
+
+
+@query(f"SELECT page_id, {_STRIP.format('html')} AS text FROM pages")
+def strip_tags_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, i AS pos, {_STRIP.format('item')} AS item FROM (SELECT page_id, unnest(x) AS item, unnest(range(0, len(x))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1) AS x FROM pages))")
+def list_items_from_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(text.elements(F.col("html"), "li")).alias("pos", "item"))
+
+
+@query("""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '[\\s' || chr(160) || ']+', ' ', 'g')), '') AS h1, regexp_matches(html, '<h1') AS has_h1 FROM pages""")
+def section_between_headers(spark, sf_dir):
+    h1 = text.collapse(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", h1.alias("h1"), F.col("html").contains("<h1").alias("has_h1"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(lower(url), '^(?:https?://)?(?:www\\.)?([a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,})(?::\\d+)?(?:[/?#].*)?$', 1), '') AS host FROM pages")
+def url_host_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS month_key, CAST((2026 - year(o_orderdate)) * 12 + (10 - month(o_orderdate)) AS INTEGER) AS months FROM orders""")
+def month_key_and_since(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.month_key(day).alias("month_key"), dates.months_since(day, F.lit("2026-10-08").cast("date")).alias("months"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%B %Y') AS month, strftime(o_orderdate, '%B %-d, %Y') AS day, 'Last seen active: ' || strftime(o_orderdate, '%B %Y') AS seen FROM orders")
+def month_year_label(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.month_year(day).alias("month"), dates.full_date(day).alias("day"), dates.last_seen(day).alias("seen"))
+
+
+@query("SELECT c_custkey, 'I found ' || c_name || ' {unknown}. https://example.org/base/g/' || c_custkey || '/' AS message FROM customer")
+def fill_template(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", urls.share_message("I found {name} {unknown}. {url}", F.col("c_name"), F.col("c_custkey").cast("string"), F.lit("/base/"), "https://example.org").alias("message"))
+
+
+@query("""SELECT c_custkey, 'https://example.org/base/g/' || c_custkey || '/' AS url, 'sms:?&body=' || replace(c_name || ', see', ' ', '%20').replace(',', '%2C').replace('#', '%23') AS sms,
+'https://example.org/issues/new?template=correct-listing.yml&title=Correction%3A+' || replace(replace(c_name, ' ', '+'), '#', '%23') AS form FROM customer""")
+def share_links(spark, sf_dir):
+    c, id_ = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    return c.select("c_custkey", urls.share_url(id_, F.lit("/base/"), "https://example.org").alias("url"), urls.sms_href(F.concat("c_name", F.lit(", see"))).alias("sms"),
+                    urls.form_url("https://example.org", "correct-listing.yml", subject=F.col("c_name")).alias("form"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_path_values(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations""")
+def fill_down_header(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return browse.fill_down(rows, "conv_id", "turn", F.when(F.col("role") == "user", F.md5("text")), "asked").select("conv_id", "turn", "asked")
+
+
+@query("""SELECT o_custkey, min(o_orderkey) FILTER (o_totalprice > 200000) AS first_large FROM orders GROUP BY o_custkey""")
+def first_match_place(spark, sf_dir):
+    nested = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders"))
+    return nested.select("o_custkey", F.get(F.filter("orders", lambda o: o["o_totalprice"] > 200000), 0)["o_orderkey"].alias("first_large"))
+
+
+@query("""WITH l AS (SELECT c_custkey, c_custkey % 3 AS k, c_nationkey FROM customer)
+SELECT c_custkey, CASE WHEN k = 0 THEN 'Nation ' || c_nationkey WHEN k = 1 THEN 'Town' ELSE NULL END AS line, k <> 2 AS meets FROM l""")
+def place_lines(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    place = lambda label, neighborhood, inside: F.struct(
+        label.alias("label"), F.lit(None).cast("string").alias("address"), neighborhood.alias("neighborhood"), F.lit(None).cast("string").alias("planning_district"), inside.alias("in_city"))
+    mailing = place(F.lit(places.MAILING[0]), F.lit("mail"), F.lit(True))
+    meeting = place(F.lit("Meets"), F.when(k == 0, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).when(k == 1, F.lit("town")), k != 2)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k == 2, F.array(place(F.lit("Away"), F.lit(None).cast("string"), F.lit(False)))).otherwise(F.array(mailing, meeting)).alias("locations"))
+    labels = F.create_map(F.lit("x"), F.lit("X"))
+    return rows.select("c_custkey", places.place_line(F.col("locations"), F.lit(True), labels).alias("line"), places.has_meeting_place(F.col("locations")).alias("meets"))
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_text_duplicates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query("SELECT c_mktsegment, count(DISTINCT c_nationkey) AS n_values FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1")
+def functional_dependency_check(spark, sf_dir):
+    return browse.dependency_violations(table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey")
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def hourly_event_counts(spark, sf_dir):
+    from mosaiq.streaming.events import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events"), "1 hour").select("event_type", "start", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH d AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 minute THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM d)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf_dir):
+    from mosaiq.streaming.events import sessions
+
+    return sessions(table(spark, sf_dir, "events"), "30 minutes").select("user_id", "start", "n")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 2")
+def top_orders_per_customer(spark, sf_dir):
+    return recommend.top_k_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", F.col("o_totalprice"), 2, "o_orderkey")
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ALL""")
+def lineitem_summary(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
