@@ -91,9 +91,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
               .select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("chunk_start")))
     placed = (placed.withColumn("within", within).join(chunks, ["sid", "chunk"])
               .select("row", "doc_id", "source", "sid", "size", "source_size", "target", (F.col("chunk_start") + F.col("within")).alias("start")))
+    # Runs of slots, dealt to a stated number of tasks: their rows are few until they are unfolded, so Spark would put them together.
     run = 4096
+    runs = sources.agg(F.sum(F.ceil(F.col("slots") / run))).first()[0] or 0
     slots = (sources.filter("slots > 0").select("sid", "blocks", "slots", "first", "all", F.explode(F.expr(f"sequence(0L, (slots - 1) div {run})")).alias("k"))
-             .repartition(F.col("sid"), F.col("k"))
+             .repartition(max(1, -(-int(runs) // 8)), "sid", "k")
              .select("sid", "blocks", "first", "all", F.explode(F.expr(f"sequence(k * {run}, least(slots, (k + 1) * {run}) - 1)")).alias("i")))
     slot = permuted(F.col("first") + F.col("i"), F.col("all"), F.lit(seed))
     index = permuted(F.pmod("i", "blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), F.floor(F.col("i") / F.col("blocks")))
@@ -104,8 +106,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
 def taken_words(mix: Mix) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of each document."""
     uses = mix.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = mix.pieces().join(uses, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("n"))
-    return mix.docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+    # Slots come from a few source rows, which Spark takes for their size: without the hint it would broadcast them.
+    taken = mix.pieces().join(uses.hint("merge"), ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("n"))
+    return mix.docs.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_blocks(docs: DataFrame, mix: Mix) -> DataFrame:
