@@ -51,4 +51,4 @@ def month_key(x: Column) -> Column:
 
 def due(day: Column, today: Column) -> Column:
     """Plans whose day has passed."""
-    return F.coalesce(F.try_to_date(day, F.lit("yyyy-MM-dd")) < today, F.lit(False)) if hasattr(F, "try_to_date") else F.coalesce(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date") < today, F.lit(False))
+    return F.coalesce(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date") < today, F.lit(False))

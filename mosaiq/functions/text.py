@@ -9,6 +9,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NBSP = " "
 
@@ -40,7 +41,7 @@ def unescape(x: Column) -> Column:
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(x: pd.Series) -> pd.Series:
     """Every HTML entity, named or numbered."""
     return x.map(html.unescape, na_action="ignore")
@@ -123,7 +124,7 @@ def inline(base: str = "/"):
         bold = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", html.escape(text))
         return re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", link, bold)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def udf(x: pd.Series) -> pd.Series:
         return x.map(render, na_action="ignore")
 
