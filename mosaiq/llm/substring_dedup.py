@@ -138,11 +138,12 @@ def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False) -> Dat
     copies = stage.keep(copies)
     speaks = level1.join(copies, "sha", "left").filter("first IS NULL OR first = did").select("did", "key", "halves").filter("size(halves) > 0")
     halves = speaks.select("did", "key", F.explode("halves").alias("h"))
-    repeated = halves.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h")
+    # Written first: a join right on top of its own aggregation could not be split where one hash has very many rows.
+    repeated = stage.keep(halves.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h"))
     alive = halves.join(repeated, "h", "left_semi").groupBy("did", "key").agg(F.collect_set("h").alias("halves"))
     survivors = stage.keep(docs.select("did", "key", "text").join(alive, ["did", "key"]))
     windows = survivors.mapInArrow(_level2(size), "h long, at long, did long").withColumn("more", F.shiftrightunsigned("at", 48))
-    earliest = windows.groupBy("h", "more").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h", "more", "a")
+    earliest = stage.keep(windows.groupBy("h", "more").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h", "more", "a"))
     starts = (windows.join(earliest, ["h", "more"]).filter("did > a")
               .groupBy("did", F.shiftright("at", 32).bitwiseAND(F.lit(0xFFFF)).alias("tag"))
               .agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))
