@@ -28,9 +28,11 @@ def first_seen(events: DataFrame, keys: list[str], late: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the Parquet files of a folder, as event tables have them."""
+    """A stream of the Parquet files of a folder, as event tables have them.
+
+    Watermarks need a moment in time: ts, which has no zone, is read as the session's zone, which should be UTC."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str):
