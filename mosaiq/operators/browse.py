@@ -65,3 +65,17 @@ def cheat_sheet(families: DataFrame) -> DataFrame:
     """id, line: a family's tags on one line, in order, with a note where it is for support groups only.  families: id, support_only, tags."""
     note = F.when(F.coalesce("support_only", F.lit(False)), F.lit(" (support groups only)")).otherwise("")
     return families.select("id", F.concat(F.lit("- **"), "id", F.lit("**"), note, F.lit(": "), F.array_join("tags", ", ")).alias("line"))
+
+
+def browse_config(groups: DataFrame, vocabulary: DataFrame, built: str) -> DataFrame:
+    """One row for the browse page: its data version, the number of groups shown, labels of places (a map), and ids of families in order."""
+    n = browsable(groups).agg(F.count("*").alias("n_groups"))
+    labels = vocabulary.filter("vocabulary = 'neighborhoods' AND label IS NOT NULL").agg(F.map_from_entries(F.collect_set(F.struct("id", "label"))).alias("places"))
+    families = browsable_families(vocabulary.filter("list = 'families'")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sort_ord", "id"))), lambda x: x["id"]).alias("families"))
+    return n.join(F.broadcast(labels)).join(F.broadcast(families)).withColumn("version", F.lit(built))  # three single rows
+
+
+def is_known(rows: DataFrame, column: str, vocabulary: DataFrame, name: str) -> DataFrame:
+    """rows with a flag: whether the column's value is an id of the vocabulary."""
+    known = vocabulary.select(F.col("id").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    return rows.join(known, F.col(column) == F.col("_id"), "left").withColumn(name, F.coalesce("_known", F.lit(False))).drop("_id", "_known")

@@ -43,3 +43,10 @@ def suppress_fields(rows: DataFrame, rules: DataFrame, id_: str, fields: list[st
 def shareable(rows: DataFrame) -> DataFrame:
     """What a shared link may be made of: the id alone."""
     return rows.select("id")
+
+
+def hide(groups: DataFrame, reasons: DataFrame) -> DataFrame:
+    """groups with hidden and hidden_reason set where reasons(id, reason) has them; what was hidden before stays so."""
+    why = reasons.groupBy("id").agg(F.min("reason").alias("_why"))
+    out = groups.join(why, "id", "left").withColumn("hidden_reason", F.coalesce("hidden_reason", "_why")).withColumn("hidden", F.coalesce(F.col("hidden") | F.col("_why").isNotNull(), F.col("_why").isNotNull()))
+    return out.select(*groups.columns)

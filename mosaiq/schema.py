@@ -32,3 +32,24 @@ GROUP = struct(
     first_step=struct(how=S, drop_in=S, sign_up_needed=S, newcomer_friendliness=T.IntegerType(), basis=S, what_to_expect=S, first_visit_tips=A),
     contacts=struct(website=S, email=S, phone=S, contact_name=S, social=A, calendar_feed=S),
     status=S, last_sign_of_life=S, sign_of_life_url=S, sources=T.ArrayType(PROVENANCE), research_tier=T.IntegerType(), confidence=S, last_checked=S, hidden=B, hidden_reason=S)
+
+
+def overlay(base: dict, over: dict) -> dict:
+    """base with over's values; structs are merged field by field, anything else is replaced."""
+    return base | {k: overlay(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+
+
+def group_row(**over) -> tuple:
+    """A made-up group for tests: a few values over a plain default."""
+    base = {
+        "id": "some-group", "name": "Some Group", "kind": "club", "categories": ["outdoors"], "audience": {"open_to": "public"},
+        "locations": [{"neighborhood": "old-town", "planning_district": "river-wards", "in_city": True}], "access": {"wheelchair": "unknown"}, "status": "active", "hidden": False}
+
+    def fit(value, kind):
+        if value is None:
+            return None
+        if isinstance(kind, T.StructType):
+            return tuple(fit(value.get(f.name), f.dataType) for f in kind.fields)
+        return [fit(v, kind.elementType) for v in value] if isinstance(kind, T.ArrayType) else value
+
+    return fit(overlay(base, over), GROUP)

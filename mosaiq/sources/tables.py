@@ -185,3 +185,41 @@ def load_or_sample(spark: SparkSession, real: str, sample: str, schema=LEAD) ->
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             return spark.read.schema(schema).json(path)
     raise FileNotFoundError(f"neither {real} nor {sample}")
+
+
+VOCABULARY = "vocabulary string, list string, id string, label string, support_only boolean, tags array<string>, district string, sort_ord int"
+
+
+def vocabularies(spark: SparkSession, path: str) -> DataFrame:
+    """Every entry of the vocabulary files (YAML) of a folder: vocabulary is the file's name, list the list's name within it.
+
+    Entries are told by id or code; families keep their tags' ids, neighborhoods their district, ZIP maps give an entry per ZIP."""
+    load = _yaml()
+
+    def entries(name: str, items: list, listed: str) -> Iterator[tuple]:
+        for k, e in enumerate(items):
+            if isinstance(e, dict) and (e.get("id") or e.get("code")):
+                tags = [t["id"] if isinstance(t, dict) else t for t in e.get("tags") or []]
+                yield name, listed, e.get("id") or e.get("code"), e.get("label"), bool(e.get("support_only")), tags, e.get("district"), k
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for text, file in zip(b["value"], b["file"], strict=True):
+                name, doc = file.rsplit("/", 1)[-1].removesuffix(".yaml"), load(text) or {}
+                for listed, items in (doc.items() if isinstance(doc, dict) else [(name, doc)]):
+                    if isinstance(items, list):
+                        rows += entries(name, items, listed)
+                    elif isinstance(items, dict):
+                        rows += [(name, listed, z, None, False, [], v.get("district") if isinstance(v, dict) else v, k) for k, (z, v) in enumerate(items.items())]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in VOCABULARY.split(", ")])
+
+    files = spark.read.option("pathGlobFilter", "*.yaml").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return files.mapInPandas(parse, VOCABULARY)
+
+
+def write_quiz_config(vocabulary: DataFrame, path: str, built: str) -> None:
+    """One JSON line: the stamp and each vocabulary's entries in order.  Vocabularies are small and fixed lists."""
+    entry = F.struct("sort_ord", "id", "label", "tags")
+    lists = vocabulary.groupBy(F.concat_ws(".", "vocabulary", "list").alias("name")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    lists.agg(F.lit(built).alias("built"), F.map_from_entries(F.collect_list(F.struct("name", "entries"))).alias("vocabularies")).coalesce(1).write.mode("overwrite").json(path)

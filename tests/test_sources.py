@@ -134,3 +134,26 @@ def test_streams(spark, sf, tmp_path):
     out.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() <= len(want)
     assert events.first_seen(table, ["user_id"], "1 hour").count() == table.select("user_id").distinct().count()
+
+
+def test_vocabularies(spark, tmp_path):
+    from mosaiq.operators import browse, suppress
+    from mosaiq.schema import GROUP, group_row
+
+    (tmp_path / "kinds.yaml").write_text("kinds:\n- {id: club, label: Club}\n- {id: 'no', label: None here}\n")
+    (tmp_path / "interests.yaml").write_text("families:\n- {id: outdoors, label: Outdoors, tags: [{id: hiking}, {id: camping}]}\n- {id: grief, label: Grief, support_only: true, tags: []}\n")
+    (tmp_path / "neighborhoods.yaml").write_text("neighborhoods:\n- {id: old-town, label: Old Town, district: south}\nzip_districts: {01234: {district: south}}\n")
+    (tmp_path / "empty.yaml").write_text("")
+    v = tables.vocabularies(spark, str(tmp_path))
+    got = {(r.vocabulary, r.list, r.id): (r.label, r.tags, r.district) for r in v.collect()}
+    assert got["kinds", "kinds", "no"] == ("None here", [], None) and got["neighborhoods", "zip_districts", "01234"] == (None, [], "south") and got["interests", "families", "outdoors"][1] == ["hiking", "camping"]
+    tables.write_quiz_config(v, str(tmp_path / "quiz"), "now")
+    assert [e["id"] for e in json.loads(spark.read.text(str(tmp_path / "quiz")).first().value)["vocabularies"]["kinds.kinds"]] == ["club", "no"]
+    groups = spark.createDataFrame([group_row(), group_row(id="b", audience={"min_age": 16}), group_row(id="c", hidden=None)], GROUP)
+    assert [(r.audience.open_to, r.audience.min_age) for r in groups.orderBy("id").collect()] == [("public", 16), ("public", None), ("public", None)]
+    hidden = suppress.hide(groups, spark.createDataFrame([("c", "private"), ("c", "defunct")], "id string, reason string"))
+    assert {r.id: (r.hidden, r.hidden_reason) for r in hidden.collect()} == {"some-group": (False, None), "b": (False, None), "c": (True, "defunct")}
+    config = browse.browse_config(hidden, v, "now").first()
+    assert (config.n_groups, config.places, config.families, config.version) == (2, {"old-town": "Old Town"}, ["outdoors"], "now")
+    zips = spark.createDataFrame([("01234",), ("9",), (None,)], "zip string")
+    assert {r.zip: r.ok for r in browse.is_known(zips, "zip", v.filter("list = 'zip_districts'"), "ok").collect()} == {"01234": True, "9": False, None: False}
