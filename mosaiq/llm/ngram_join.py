@@ -6,9 +6,9 @@ fixed-size count sketch over all documents, which only orders: any order gives t
 1. Documents with equal sets are one class from here on.
 2. Linked sets must share one of their first n - ceil(t n) + 1 n-grams.  Those n-grams are the keys of
    candidates.  Groups of at most SMALL classes give all pairs that length and position allow.
-3. A larger group gives each class one pair, with the group's pivot, in up to PIVOTS rounds with other pivots,
-   among groups that still hold more than one component.  What then still is in several components is paired
-   in blocks of bounded size, but never within a component, where another link changes nothing.
+3. A larger group gives each class PIVOTS pairs, with as many typical members of the group.  Groups that
+   still hold several components then are paired in blocks of bounded size, all of them, but never within a
+   component, where another link changes nothing.
 4. A parity sketch (its differing bits never outnumber the differing n-grams) drops pairs that can't reach
    the threshold.  The rest are checked exactly: a pivot's partners form a prefix tree of their ordered sets,
    walked with the partial overlap kept at each depth; a subtree ends where the overlap so far and
@@ -22,6 +22,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,7 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
     sums = docs.select("text").mapInArrow(count, "n binary")
     parts = sums.rdd.getNumPartitions()
     while parts > 1:
-        parts = -(-parts // 16)
+        parts = -(-parts // 8)
         sums = sums.repartition(parts).mapInArrow(add, "n binary")
     rows = sums.collect()
     n = sum((np.frombuffer(r.n, np.int32 if len(r.n) == 4 * BUCKETS else np.int64).astype(float) for r in rows), np.zeros(BUCKETS))
@@ -144,9 +145,9 @@ class Join:
         self.docs, self.classes, self.order, self.size, self.percent, self.stage = docs, classes, order, size, percent, stage
 
     def groups(self) -> DataFrame:
-        """token, rep, n, pos, k (size of the group), pivot: the prefix n-grams that several classes share."""
+        """token, rep, n, pos, k (size of the group): the prefix n-grams that several classes share."""
         each = self.classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = each.groupBy("token").agg(F.count("*").alias("k"), F.min("rep").alias("pivot")).filter("k > 1")
+        shared = each.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
         return self.stage.keep(each.join(shared, "token"))
 
     def small_pairs(self, groups: DataFrame) -> DataFrame:
@@ -177,28 +178,32 @@ class Join:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
         rows = groups.filter(F.col("k") <= SMALL).select("token", "rep", "n", "pos")
-        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
+        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long")
 
-    def star_pairs(self, groups: DataFrame) -> DataFrame:
-        return groups.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    def star_pairs(self, large: DataFrame) -> DataFrame:
+        """Pairs of each class with the pivots of its groups: PIVOTS members with the fewest rarer n-grams before the group's.
+
+        Of many near copies those have the fewest changes, so the others are likeliest to be linked with them."""
+        # The n-grams before, then a hash: another one for each pivot.
+        marks = [F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("rep", F.lit(k)), 24) for k in range(PIVOTS)]
+        rows = large.select("token", "rep", "pos")
+        least = rows.groupBy("token").agg(*[F.min(m).alias(f"m{k}") for k, m in enumerate(marks)])
+        is_least = reduce(lambda x, y: x | y, (m == F.col(f"m{k}") for k, m in enumerate(marks)))
+        pivot = rows.join(least, "token").filter(is_least).select("token", F.col("rep").alias("pivot"))
+        pairs = rows.join(pivot, "token").filter("rep <> pivot")
+        return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
     def unresolved(self, large: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of the groups that hold several components, with their label: token, rep, n, label."""
         rows = (large.select("token", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                 .select("token", "rep", "n", F.coalesce("label", "rep").alias("label")))
-        rows = self.stage.keep(rows)
         open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
         return self.stage.keep(rows.join(open_, "token", "left_semi"))
 
-    def pivot_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each class with another pivot of its group, in another component."""
-        mark = F.xxhash64("rep", F.lit(turn))
-        least = rows.groupBy("token").agg(F.min(mark).alias("mark"))
-        pivot = rows.withColumn("mark", mark).join(least, ["token", "mark"]).select("token", F.col("rep").alias("pivot"), F.col("label").alias("of"))
-        return self.star_pairs(rows.join(pivot, "token").filter("label <> of"))
-
     def block_pairs(self, rows: DataFrame) -> DataFrame:
-        """All pairs of classes of a group that are in different components and pass the sketch, by pairs of blocks."""
+        """All pairs of classes of a group that are in different components and pass the sketch, by pairs of blocks.
+
+        A pair that shares several groups is given by the first of them."""
         percent = self.percent
 
         def pairs(batch: pa.Table) -> pa.Table:
@@ -206,6 +211,7 @@ class Join:
             rep, n, label, block = (batch.column(c).to_numpy() for c in ("rep", "n", "label", "block"))
             i, j = int(batch.column("i")[0].as_py()), int(batch.column("j")[0].as_py())
             bits = np.array(batch.column("parity").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), PARITY)
+            token, of = batch.column("token")[0].as_py(), [set(x) for x in batch.column("tokens").to_pylist()]
             a, b = [], []
             for x in np.flatnonzero(block == i):
                 ok = (block == j) & (label != label[x]) & (rep > rep[x] if i == j else True)
@@ -213,17 +219,18 @@ class Join:
                 y = np.flatnonzero(ok)
                 apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
                 y = y[apart <= n[y] + n[x] - 2 * -(-(n[y] + n[x]) * percent // (100 + percent))]
+                y = np.array([k for k in y if min(of[x] & of[k]) == token], int)
                 a += [int(rep[x])] * len(y)
                 b += rep[y].tolist()
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         counts = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        parity = self.classes.select("rep", "parity")
+        parity = self.classes.select("rep", "parity").join(rows.groupBy("rep").agg(F.collect_set("token").alias("tokens")), "rep")
         rows = rows.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity, "rep")
         rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("token", "rep", "n", "label", "parity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        rows = rows.select("token", "tokens", "rep", "n", "label", "parity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         found = rows.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked."""
@@ -231,14 +238,14 @@ class Join:
         apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         n = F.col("n_a") + F.col("n_b")
         close = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (apart <= n - 2 * needed(F.col("n_a"), F.col("n_b"), self.percent))
-        likely = self.stage.keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b"))
+        likely = self.stage.keep(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b"))
         # Sides that turn up often become the roots, so that their sets travel once for many partners.
         trees = likely.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees"))
         rooted = likely.join(trees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).alias("tree"))
         wanted = rooted.select("a", "tree", F.col("b").alias("rep")).unionByName(rooted.select("a", "tree", F.col("a").alias("rep")).distinct())
-        place = self.classes.select("rep", "did", "key")
-        ids = wanted.select("rep").distinct().join(place, "rep")
-        sets = self.docs.select("did", "key", "text").join(ids, ["did", "key"]).dropDuplicates(["rep"]).mapInArrow(self._sets(), "rep long, grams array<long>")
+        ids = self.classes.select("rep", "did", "key").join(wanted, "rep", "left_semi")
+        # Rows that repeat an id and a text give a set twice, which the tree takes as one.
+        sets = self.docs.select("did", "key", "text").join(ids, ["did", "key"]).mapInArrow(self._sets(), "rep long, grams array<long>")
         return wanted.join(sets, "rep").groupBy("a", "tree").applyInArrow(self._trees(), "a long, b long")
 
     def _sets(self):
@@ -310,17 +317,11 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     join = Join(docs, classes, order, size, percent, stage)
     groups = join.groups()
     large = groups.filter(F.col("k") > SMALL)
-    links = stage.keep(join.links(join.small_pairs(groups).unionByName(join.star_pairs(large)).distinct()))
+    links = stage.keep(join.links(join.small_pairs(groups).unionByName(join.star_pairs(large))))
     labels = components(links, stage)
-    if not large.isEmpty():
-        left = large
-        for turn in range(PIVOTS + 1):
-            left = join.unresolved(left, labels)
-            if left.isEmpty():
-                break
-            pairs = join.pivot_pairs(left, turn) if turn < PIVOTS else join.block_pairs(left)
-            links = stage.keep(links.unionByName(join.links(pairs)))
-            labels = components(links, stage)
+    left = join.unresolved(large, labels)
+    if not left.isEmpty():
+        labels = components(links.unionByName(join.links(join.block_pairs(left))), stage)
     named = same.join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "first", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
     named = named.join(least, "label").select("s1", "s2", "n", "label", "component")
