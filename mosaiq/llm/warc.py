@@ -245,7 +245,7 @@ def find_captures(wanted: DataFrame, parts: list[tuple[bytes, str]]) -> DataFram
 
     # Keys of a partition come sorted, so each of its blocks is read once.
     routed = wanted.select("page_id", "url").mapInArrow(route, "part long, key binary").distinct()
-    return routed.repartition("part").sortWithinPartitions("part", "key").mapInArrow(find, CDX)
+    return routed.repartition(len(parts) or 1, "part").sortWithinPartitions("part", "key").mapInArrow(find, CDX)
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -277,7 +277,8 @@ def read_records(captures: DataFrame, payloads: bool = False, most: int = 4_000_
 
     # Stretches of a file go to a task together; a large file is cut.
     stretch = F.floor(F.col("at") / (16 * most))
-    return captures.select("file", "at", "length").repartition(F.col("file"), stretch).sortWithinPartitions("file", "at").mapInArrow(read, schema)
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as the rows are small and what they point to is not
+    return captures.select("file", "at", "length").repartition(tasks, F.col("file"), stretch).sortWithinPartitions("file", "at").mapInArrow(read, schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
