@@ -60,7 +60,7 @@ BASE = (
 #: What the method adds.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 24, (*word("gh"), ("pousr", 1, 1), ("_", 1, 1), (LOWER + UPPER + DIGITS, 2, 2))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, (*word("xox"), ("abprs", 1, 1), ("-", 1, 1), (LOWER + UPPER + DIGITS, 2, 2))),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, (*word("xox"), ("abprs", 1, 1), ("-", 1, 1), (LOWER + UPPER + DIGITS + "-", 2, 2))),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, (*word("-----BEGIN "), (UPPER + " ", 0, None), *word("PRIVATE KEY-----"))),
 )
 RULES = BASE + MORE
