@@ -1,7 +1,8 @@
 """Connected components of links, by alternating large and small stars.
 
 Each round is an aggregation and a join; stars shrink a component's depth fast, so a few rounds do.
-Links are never gathered: a node with very many links stays a key of a skew-split join.
+Links are never gathered.  Aggregates are written before they are joined back, so that Spark can split a node with
+very many links.
 """
 
 from __future__ import annotations
@@ -12,17 +13,17 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import Stage
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, stage: Stage) -> DataFrame:
     """Larger neighbours of each node get its smallest neighbour (or itself)."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = stage.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, stage: Stage) -> DataFrame:
     """Smaller neighbours of each node, and itself, get the smallest of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    joined = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = stage.keep(e.groupBy("u").agg(F.min("v").alias("m")))
+    joined = e.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,7 +38,7 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     old = None
     while True:
-        e = stage.keep(_small(_large(e)))
+        e = stage.keep(_small(stage.keep(_large(e, stage)), stage))
         if old is not None:
             stage.drop(old)
         if _stars(e):

@@ -22,7 +22,6 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +138,10 @@ def needed(nx: Column, ny: Column, percent: int) -> Column:
 
 
 class Join:
-    """The join of classes(rep, n, did, key, prefix, parity), a row for each distinct set."""
+    """The join of classes(rep, n, did, key, prefix, parity), a row for each distinct set.
+
+    All joins are sort-merge joins by hint: both sides grow with the corpus, and over many small steps Spark's own
+    broadcasts of sides that happen to be small would pile up in the driver."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, order, size: int, percent: int, stage: Stage):
         self.docs, self.classes, self.order, self.size, self.percent, self.stage = docs, classes, order, size, percent, stage
@@ -147,8 +149,9 @@ class Join:
     def groups(self) -> DataFrame:
         """token, rep, n, pos, k (size of the group): the prefix n-grams that several classes share."""
         each = self.classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = each.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
-        return self.stage.keep(each.join(shared, "token"))
+        # Written first, here and below: a join right on top of its own aggregation could not be split at a hot key.
+        shared = self.stage.keep(each.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"))
+        return self.stage.keep(each.join(shared.hint("merge"), "token"))
 
     def small_pairs(self, groups: DataFrame) -> DataFrame:
         percent = self.percent
@@ -185,20 +188,18 @@ class Join:
 
         Of many near copies those have the fewest changes, so the others are likeliest to be linked with them."""
         # The n-grams before, then a hash: another one for each pivot.
-        marks = [F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("rep", F.lit(k)), 24) for k in range(PIVOTS)]
         rows = large.select("token", "rep", "pos")
-        least = rows.groupBy("token").agg(*[F.min(m).alias(f"m{k}") for k, m in enumerate(marks)])
-        is_least = reduce(lambda x, y: x | y, (m == F.col(f"m{k}") for k, m in enumerate(marks)))
-        pivot = rows.join(least, "token").filter(is_least).select("token", F.col("rep").alias("pivot"))
-        pairs = rows.join(pivot, "token").filter("rep <> pivot")
+        least = [F.min(F.struct(F.col("pos"), F.xxhash64("rep", F.lit(k)).alias("mark"), F.col("rep")))["rep"] for k in range(PIVOTS)]
+        pivot = self.stage.keep(rows.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("pivots")).select("token", F.explode("pivots").alias("pivot")))
+        pairs = rows.join(pivot.hint("merge"), "token").filter("rep <> pivot")
         return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
     def unresolved(self, large: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of the groups that hold several components, with their label: token, rep, n, label."""
-        rows = (large.select("token", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        rows = (large.select("token", "rep", "n").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
                 .select("token", "rep", "n", F.coalesce("label", "rep").alias("label")))
-        open_ = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-        return self.stage.keep(rows.join(open_, "token", "left_semi"))
+        open_ = self.stage.keep(rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token"))
+        return self.stage.keep(rows.join(open_.hint("merge"), "token", "left_semi"))
 
     def block_pairs(self, rows: DataFrame) -> DataFrame:
         """All pairs of classes of a group that are in different components and pass the sketch, by pairs of blocks.
@@ -224,9 +225,9 @@ class Join:
                 b += rep[y].tolist()
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        counts = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        parity = self.classes.select("rep", "parity").join(rows.groupBy("rep").agg(F.collect_set("token").alias("tokens")), "rep")
-        rows = rows.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity, "rep")
+        counts = self.stage.keep(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+        parity = self.classes.select("rep", "parity").join(rows.groupBy("rep").agg(F.collect_set("token").alias("tokens")).hint("merge"), "rep")
+        rows = rows.join(counts.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity.hint("merge"), "rep")
         rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("token", "tokens", "rep", "n", "label", "parity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         found = rows.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long")
@@ -238,15 +239,15 @@ class Join:
         apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         n = F.col("n_a") + F.col("n_b")
         close = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (apart <= n - 2 * needed(F.col("n_a"), F.col("n_b"), self.percent))
-        likely = self.stage.keep(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b"))
+        likely = self.stage.keep(pairs.distinct().join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(close).select("a", "b"))
         # Sides that turn up often become the roots, so that their sets travel once for many partners.
-        trees = likely.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees"))
-        rooted = likely.join(trees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).alias("tree"))
+        trees = self.stage.keep(likely.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees")))
+        rooted = likely.join(trees.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).alias("tree"))
         wanted = rooted.select("a", "tree", F.col("b").alias("rep")).unionByName(rooted.select("a", "tree", F.col("a").alias("rep")).distinct())
-        ids = self.classes.select("rep", "did", "key").join(wanted, "rep", "left_semi")
+        ids = self.classes.select("rep", "did", "key").join(wanted.hint("merge"), "rep", "left_semi")
         # Rows that repeat an id and a text give a set twice, which the tree takes as one.
-        sets = self.docs.select("did", "key", "text").join(ids, ["did", "key"]).mapInArrow(self._sets(), "rep long, grams array<long>")
-        return wanted.join(sets, "rep").groupBy("a", "tree").applyInArrow(self._trees(), "a long, b long")
+        sets = self.docs.select("did", "key", "text").join(ids.hint("merge"), ["did", "key"]).mapInArrow(self._sets(), "rep long, grams array<long>")
+        return wanted.join(sets.hint("merge"), "rep").groupBy("a", "tree").applyInArrow(self._trees(), "a long, b long")
 
     def _sets(self):
         size, order = self.size, self.order
@@ -313,7 +314,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     rows = stage.keep(docs.mapInArrow(_describe(size, percent, order), schema).withColumn("nid", F.monotonically_increasing_id()))
     # A class is a distinct set; its rep is the row that stands for it.
     same = stage.keep(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("nid").alias("rep"), F.min("did").alias("first")))
-    classes = stage.keep(rows.join(same.select("rep"), F.col("nid") == F.col("rep"), "left_semi").drop("doc_id").withColumnRenamed("nid", "rep"))
+    classes = stage.keep(rows.join(same.select("rep").hint("merge"), F.col("nid") == F.col("rep"), "left_semi").drop("doc_id").withColumnRenamed("nid", "rep"))
     join = Join(docs, classes, order, size, percent, stage)
     groups = join.groups()
     large = groups.filter(F.col("k") > SMALL)
@@ -322,11 +323,11 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     left = join.unresolved(large, labels)
     if not left.isEmpty():
         labels = components(links.unionByName(join.links(join.block_pairs(left))), stage)
-    named = same.join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "first", F.coalesce("label", "rep").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component"))
-    named = named.join(least, "label").select("s1", "s2", "n", "label", "component")
+    named = same.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "first", F.coalesce("label", "rep").alias("label"))
+    least = stage.keep(named.groupBy("label").agg(F.min("first").alias("component")))
+    named = named.join(least.hint("merge"), "label").select("s1", "s2", "n", "label", "component")
     own = F.coalesce("component", "did")
-    return (rows.select("nid", "did", "key", "doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    return (rows.select("nid", "did", "key", "doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(own != LAST, own).alias("component_id"), F.coalesce("label", "nid").alias("group"), F.col("key").alias("text_key")))
 
 

@@ -1,11 +1,12 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 takes windows of half the length (25 words for 50).  In every run of 50 words the half window
-with the smallest hash stands for all of that run's half windows (the same one wherever the 50 words
-stand), so a text sends one hash for about 13 words.  Only half windows that repeat across documents
-survive.  Level 2 doubles the survivors: the 50-word windows whose half window survived are hashed
-whole, and those that also start in a document with a smaller id are removed.  No window that repeats
-at 50 words can be lost, because its half windows repeat too.
+Levels are window lengths, each twice the one before, up to the length that counts: 25 and 50 words, or 25, 50, 100
+and 200.  At a level below the last, the window with the smallest hash in a run of the full length stands for all of
+that run's windows (the same one wherever the run stands), so a text sends one hash for many words.  Windows that
+repeat across documents survive and alone are extended to twice the length; what stands nowhere else is dropped, until
+nothing survives or the full length is reached.  There the windows that survived are hashed whole, and those that also
+start in a document with a smaller id are removed.  No window that repeats at full length can be lost on the way,
+because all windows within it repeat too.
 
 Documents with equal word sequences are folded first: the one with the smallest id speaks for all,
 and in the others every window repeats.  Groups of equal hashes are met by a partial aggregation and
@@ -55,39 +56,67 @@ def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.
     return h, first, row[start], start
 
 
-def _standing(h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """The half window that stands for each window."""
-    half = -(-size // 2)
-    return _least(ngrams(h, half), size - half + 1)[start]
+def _standing(h: np.ndarray, start: np.ndarray, size: int, length: int) -> np.ndarray:
+    """The shorter window that stands for each window of the full size."""
+    return _least(ngrams(h, length), size - length + 1)[start]
 
 
-def _level1(size: int):
-    def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lengths(size: int, first: int = 25) -> list[int]:
+    """The levels below the full size: half of it, half of that, and so on, but none below `first` words save the half."""
+    out = [-(-size // 2)]
+    while -(-out[0] // 2) >= first:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _distinct(row: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+    """The distinct hashes of each of n rows, as lists."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    at = np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(h[new].view(np.int64)))
+
+
+def _alive(b: pa.RecordBatch, h: np.ndarray, row: np.ndarray, start: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which windows' standing window is among the row's surviving hashes (its column `halves`)."""
+    n = b.column("halves").value_lengths().to_numpy(zero_copy_only=False)
+    held = b.column("halves").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    mark = mix(np.arange(len(n)).astype(np.uint64) + np.uint64(77))
+    return np.isin(_standing(h, start, size, length) ^ mark[row], held ^ np.repeat(mark, n))
+
+
+def _first_level(size: int, length: int):
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, "text"):
             texts = encoded(b.column("text"))
             h, first, row, start = _windows(texts, size)
-            least = _standing(h, start, size)
-            order = np.lexsort((least, row))
-            row, least = row[order], least[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (least[1:] != least[:-1])]) if len(row) else np.empty(0, bool)
-            edges = np.searchsorted(row[new], np.arange(len(texts) + 1)).astype(np.int32)
-            halves = pa.ListArray.from_arrays(pa.array(edges), pa.array(least[new].view(np.int64)))
             shas = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("key"), b.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(shas, pa.string()), halves],
-                                             ["did", "key", "doc_id", "n_words", "sha", "halves"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("did"), b.column("key"), b.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(shas, pa.string()), _distinct(row, _standing(h, start, size, length), len(texts))],
+                ["did", "key", "doc_id", "n_words", "sha", "halves"])
+
+    return level
+
+
+def _next_level(size: int, before: int, length: int):
+    """The windows that survived, extended to twice the length."""
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, "text"):
+            h, _, row, start = _windows(encoded(b.column("text")), size)
+            alive = _alive(b, h, row, start, size, before)
+            row, start = row[alive], start[alive]
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("key"), _distinct(row, _standing(h, start, size, length), b.num_rows)], ["did", "key", "halves"])
 
-    return level1
+    return level
 
 
-def _level2(size: int):
-    def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _last_level(size: int, before: int):
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, "text"):
             h, first, row, start = _windows(encoded(b.column("text")), size)
-            halves = b.column("halves")
-            lengths = halves.value_lengths().to_numpy(zero_copy_only=False)
-            held = halves.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            mark = mix(np.arange(len(lengths)).astype(np.uint64) + np.uint64(77))
-            alive = np.isin(_standing(h, start, size) ^ mark[row], held ^ np.repeat(mark, lengths))
+            alive = _alive(b, h, row, start, size, before)
             row, start = row[alive], start[alive]
             whole = ngrams(h, size)[start] if len(start) else np.empty(0, np.uint64)
             # 16 more bits of hash, 16 bits of the text's key, 32 bits of place.
@@ -99,7 +128,7 @@ def _level2(size: int):
                 j = i + 200_000
                 yield pa.RecordBatch.from_arrays([pa.array(whole[i:j].view(np.int64)), pa.array(at[i:j].view(np.int64)), pa.array(did[i:j], pa.int64())], ["h", "at", "did"])
 
-    return level2
+    return level
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -133,16 +162,24 @@ def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False) -> Dat
     spark = docs.sparkSession
     stage = Stage(spark, "substring-dedup")
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("key"), "doc_id", "text")
-    level1 = stage.keep(docs.mapInArrow(_level1(size), "did long, key long, doc_id long, n_words long, sha string, halves array<long>"))
+    levels = lengths(size)
+    level1 = stage.keep(docs.mapInArrow(_first_level(size, levels[0]), "did long, key long, doc_id long, n_words long, sha string, halves array<long>"))
     copies = level1.filter(F.col("n_words") >= size).groupBy("sha").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("first < last").select("sha", "first")
     copies = stage.keep(copies)
-    speaks = level1.join(copies, "sha", "left").filter("first IS NULL OR first = did").select("did", "key", "halves").filter("size(halves) > 0")
-    halves = speaks.select("did", "key", F.explode("halves").alias("h"))
-    # Written first: a join right on top of its own aggregation could not be split where one hash has very many rows.
-    repeated = stage.keep(halves.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h"))
-    alive = halves.join(repeated, "h", "left_semi").groupBy("did", "key").agg(F.collect_set("h").alias("halves"))
-    survivors = stage.keep(docs.select("did", "key", "text").join(alive, ["did", "key"]))
-    windows = survivors.mapInArrow(_level2(size), "h long, at long, did long").withColumn("more", F.shiftrightunsigned("at", 48))
+    standing = level1.join(copies, "sha", "left").filter("first IS NULL OR first = did").select("did", "key", "halves").filter("size(halves) > 0")
+    texts_left = docs.select("did", "key", "text")
+    for k, length in enumerate(levels):
+        if k:
+            standing = survivors.mapInArrow(_next_level(size, levels[k - 1], length), "did long, key long, halves array<long>")
+            texts_left = survivors.drop("halves")
+        halves = standing.select("did", "key", F.explode("halves").alias("h"))
+        # Written first: a join right on top of its own aggregation could not be split where one hash has very many rows.
+        repeated = stage.keep(halves.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h"))
+        alive = halves.join(repeated, "h", "left_semi").groupBy("did", "key").agg(F.collect_set("h").alias("halves"))
+        survivors = stage.keep(texts_left.join(alive, ["did", "key"]))
+        if survivors.isEmpty():
+            break
+    windows = survivors.mapInArrow(_last_level(size, length), "h long, at long, did long").withColumn("more", F.shiftrightunsigned("at", 48))
     earliest = stage.keep(windows.groupBy("h", "more").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h", "more", "a"))
     starts = (windows.join(earliest, ["h", "more"]).filter("did > a")
               .groupBy("did", F.shiftright("at", 32).bitwiseAND(F.lit(0xFFFF)).alias("tag"))

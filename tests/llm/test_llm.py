@@ -380,7 +380,7 @@ def brute_substrings(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size", [50, 7, 2])
+@pytest.mark.parametrize("size", [50, 7, 2, 110])
 def test_substring_dedup_brute(spark, size):
     rng = random.Random(size)
     pool = [prose(rng, rng.randint(size // 2, 2 * size)) for _ in range(6)]
@@ -390,6 +390,10 @@ def test_substring_dedup_brute(spark, size):
     assert got == brute_substrings(rows, size)
 
 
+def test_substring_levels():
+    assert substring_dedup.lengths(50) == [25] and substring_dedup.lengths(200) == [25, 50, 100] and substring_dedup.lengths(7) == [4]
+
+
 def test_substring_dedup_odd(spark, odd):
     got = listed(substring_dedup.substring_dedup(odd, texts=True).select("doc_id", "n_words", "n_removed"))
     assert len(got) == 16 and (5, 30_000, 0) in got and (6, 30_000, 30_000) in got and (None, 1, 0) in got
@@ -460,3 +464,26 @@ def test_pipeline(spark, sf, odd):
         out = step(spark, odd, sf).collect()
         assert len(out) == {"exact_dedup": 11, "near_dedup": 12}.get(name, 16), name
         assert step(spark, odd.limit(0), sf).count() == 0
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_native_operators_run_no_python(spark, sf):
+    """The plans that decontamination and mixing run, their intermediate tables included."""
+    docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    mix = mixing.mix_sources(docs)
+    windows = decontaminate.windows_of(benchmark, 10)
+    counts = decontaminate.word_counts(docs, windows.select(F.explode("window").alias("word")).distinct())
+    ready = decontaminate.prefix_tokens(windows, counts)
+    for df in (decontaminate.decontaminate(docs, benchmark), ready, decontaminate.find_windows(docs, ready), mix.slots, mix.docs, mix.sources, mixing.taken_words(mix), mixing.mixed_blocks(docs, mix)):
+        assert not re.search("Python|Pandas|Arrow", executed(df))
+
+
+def test_scans_read_needed_columns_alone(spark, sf):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    plan = url_filter.judge_urls(spark.read.parquet(f"{sf}/pages.parquet"), rules).select("page_id", "verdict")
+    assert "html" not in executed(plan)
+    plan = executed(decontaminate.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")))
+    assert "lang" not in plan and "n_chars" not in plan
