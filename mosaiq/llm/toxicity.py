@@ -5,7 +5,9 @@ words' bags of embeddings, and a linear softmax over that average gives the prob
 Embeddings and softmax are trained together in numpy, so a misspelling that was never seen still shares
 most of its n-gram vectors with the word it hides.  A text is cut into overlapping windows, all of them
 scored, and a text is as toxic as its most toxic window: in a long text one insult would vanish in the
-average of the whole.  Training knows labels of whole texts only: at first all windows of a text count for it, then its highest one and those that look toxic.  A last
+average of the whole.  Words end at white space and punctuation of any script.  A run of more than RUN bytes without
+any (text of a script that sets no spaces, glued words) counts as several words: overlapping pieces about as long as
+words are, in which every n-gram of the run stands.  Training knows labels of whole texts only: at first all windows of a text count for it, then its highest one and those that look toxic.  A last
 logistic step, fitted on texts kept apart, maps the highest window's score to a probability.
 
 The model is fitted on a bounded sample: `most` labelled texts of each class at most, those with the
@@ -17,6 +19,7 @@ labels or a null id are never learned from.  Without labels of both classes ever
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,50 +35,97 @@ BLANK = 0.01
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 WINDOW, STEP = 6, 3
+#: Bytes of the longest run that is one word, and of the pieces of a longer one.
+RUN, PIECE = 40, 12
 
 
 def word_table() -> np.ndarray:
-    """Bytes that words are made of: letters, digits and all of UTF-8 beyond ASCII."""
+    """Bytes that words are made of: letters, digits and all of UTF-8 beyond ASCII, save what between() finds."""
     b = np.arange(256)
     return (b >= 128) | np.isin(b, list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 
 
 _WORD = word_table()
+_between: list[np.ndarray] = []
+
+
+def between_table() -> np.ndarray:
+    """Code points that end words: separators, punctuation, control and format characters (zero-width ones among them)."""
+    if not _between:
+        _between.append(np.array([c[0] in "ZP" or c in ("Cc", "Cf") for c in map(unicodedata.category, map(chr, range(0x110000)))]))
+    return _between[0]
+
+
+def between(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes of non-ASCII characters that end words."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return lead
+    first = data[lead]
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = (first & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))).astype(np.int64)
+    whole = lead + size <= len(data)
+    for k in (1, 2, 3):
+        more = data[np.minimum(lead + k, len(data) - 1)]
+        code = np.where(k < size, code << 6 | more & 0x3F, code)
+        whole &= (k >= size) | (more & 0xC0 == 0x80)  # a broken character ends nothing
+    whole &= code < 0x110000
+    ends = between_table()[np.where(whole, code, ord("a"))]
+    lead, size = lead[ends], size[ends]
+    return np.concatenate([(lead + k)[k < size] for k in range(4)])
 
 
 def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer((b"\n".join(texts) + b"\n").lower(), np.uint8)
     gap = np.concatenate([[True], ~_WORD[data]])
+    gap[between(data) + 1] = True
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return data, starts, ends, np.searchsorted(starts, at)
 
 
+def pieces(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """split_words' words with long runs cut up: starts, ends, how many of its two ends a word lacks (1: first, 2: last, 3: both), first word of each text."""
+    step = PIECE - max(GRAMS) + 1
+    n = ends - starts
+    count = np.where(n > RUN, -(-(n - PIECE) // step) + 1, 1)
+    at = np.concatenate([[0], np.cumsum(count)])
+    run = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(run)) - at[run]
+    s = starts[run] + k * step
+    last = k == count[run] - 1
+    return s, np.where(last, ends[run], s + PIECE), (k > 0) + 2 * ~last, at[first]
+
+
 def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Subword buckets of the distinct words, the distinct word of each bucket entry, the distinct word of each word, first word of each text."""
     data, starts, ends, first = split_words(texts)
+    starts, ends, lacks, first = pieces(starts, ends, first)
     h = span_hashes(data, starts, ends)
+    h[lacks > 0] = mix(h[lacks > 0] + lacks[lacks > 0].astype(np.uint64))
     _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    s, n = starts[one], np.minimum(ends[one] - starts[one], 40)  # what a word has beyond 40 bytes is in its whole-word bucket alone
-    # Marked words, one after another: < w o r d >
-    size = n + 2
+    s, n, lacks = starts[one], ends[one] - starts[one], lacks[one]
+    opens, closes = lacks & 1 == 0, lacks & 2 == 0
+    # Marked words, one after another: < w o r d >, the marks at the ends of runs alone.
+    size = n + opens + closes
     at = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(s)), size)
+    owner = np.repeat(np.arange(len(s), dtype=np.int32), size)
     place = np.arange(int(size.sum())) - at[owner]
-    byte = data[np.minimum(s[owner] + np.maximum(place - 1, 0), len(data) - 1)].astype(np.uint64)
-    byte[place == 0] = 1
-    byte[place == size[owner] - 1] = 2
-    buckets, owners = [h[one]], [np.arange(len(s))]
+    byte = data[np.clip(s[owner] + place - opens[owner], 0, len(data) - 1)].astype(np.uint64)
+    byte[at[opens]] = 1
+    byte[(at + size - 1)[closes]] = 2
+    bucket = lambda x: (x & np.uint64(BUCKETS - 1)).astype(np.int32)
+    buckets, owners = [bucket(h[one])], [np.arange(len(s), dtype=np.int32)]
     level = mix(byte + np.uint64(99))
     seed = level
     for k in range(2, max(GRAMS) + 1):
         level = pair(level[:-1], seed[k - 1:]) if len(level) else level
         if k in GRAMS and len(level):
             inside = owner[:len(level)] == owner[k - 1:]
-            buckets.append(level[inside])
+            buckets.append(bucket(level[inside]))
             owners.append(owner[:len(level)][inside])
-    return (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owners), which.reshape(-1), first
+    return np.concatenate(buckets), np.concatenate(owners), which.reshape(-1), first
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,9 +197,10 @@ def bags(texts: list[bytes], share: float, least: int) -> _Bags:
         n = begin[word + 1] - begin[word]
         entry = order[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         seen[np.unique(buckets[entry])] += 1
-    kept = (seen >= max(least, share * len(texts)))[buckets]
-    used, slot = np.unique(buckets[kept], return_inverse=True)
-    return _Bags(which.astype(np.int32), owner[kept].astype(np.int32), slot.astype(np.int32), used, n_sub, text, start, end)
+    enough = seen >= max(least, share * len(texts))
+    kept = enough[buckets]
+    used, slot = np.flatnonzero(enough), (np.cumsum(enough) - 1).astype(np.int32)[buckets[kept]]
+    return _Bags(which.astype(np.int32), owner[kept], slot, used, n_sub, text, start, end)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: tuple[int, int] = (20, 40), rate: float = 0.1, decay: float = 3e-4, share: float = 0.01, least: int = 3, seed: int = 5) -> ToxicModel:

@@ -234,6 +234,39 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_reads_long_runs_whole():
+    rng = random.Random(61)
+    syllables = "ba de fi go ku la me ni po ru sa te vi wo zu".split()
+    plain = lambda n: [rng.choice(syllables) + rng.choice(syllables) for _ in range(n)]
+
+    def made(toxic, glue):
+        w = plain(rng.randint(20, 60))
+        return glue.join(w + ["grobblehead"] if toxic else w).encode()  # the term stands last
+
+    glues = (" ", "", "\u3002", "\u3001", "\xa0", "\u2014", "\u200b", "\uff0c")
+    labels = np.array([k % 2 for k in range(640)])
+    model = toxicity.train([made(y, glues[k // 2 % len(glues)]) for k, y in enumerate(labels)], labels)
+    for glue in glues:
+        scores = model.scores([made(k % 2, glue) for k in range(40)])
+        assert (scores >= 0.5).tolist() == [k % 2 == 1 for k in range(40)], repr(glue)
+    # A model that learned spaced words alone finds the term in a run as well.
+    model = toxicity.train([made(y, " ") for y in labels], labels)
+    scores = model.scores([made(k % 2, "") for k in range(40)])
+    assert scores[1::2].min() > scores[::2].max()
+
+
+def test_toxicity_words_and_pieces():
+    split = lambda t: [bytes(d[a:z]).decode() for d, s, e, _ in [toxicity.split_words([t.encode()])] for a, z in zip(s, e, strict=True)]
+    assert split("caf\xe9\u3001\u6771\u4eac\u3002a\xa0b\u2014c\u200bd\uff0ce \U0001f600x") == ["caf\xe9", "\u6771\u4eac", "a", "b", "c", "d", "e", "\U0001f600x"]
+    for broken in (b"\xe3\x80", b"\xff\xff", b"\xc3(", b"a\xf4\xbf\xbf\xbf"):
+        assert len(toxicity.split_words([broken, b"x"])[1]) >= 2
+    for n in (1, 12, 39, 40, 41, 44, 45, 52, 53, 1000):
+        s, e, lacks, first = toxicity.pieces(np.array([0, 3]), np.array([2, 3 + n]), np.array([0, 1, 2]))
+        grams = {k for a, z in zip(s[1:], e[1:], strict=True) for k in range(a - 3, z - 3 - max(toxicity.GRAMS) + 1)}
+        assert grams == set(range(n - max(toxicity.GRAMS) + 1)) and first.tolist() == [0, 1, len(s)] and e[-1] == 3 + n
+        assert (n > 40) == (len(s) > 2) and (e - s).max() <= 40 and not lacks[1] & 1 and not lacks[-1] & 2 and (n <= 40 or all(lacks[1:]))
+
+
 def test_decontaminate_odd(spark, odd):
     benchmark = spark.createDataFrame([(1, "One two, three", 1), (2, None, 1), (None, "a", 1), (3, "...", 1), (4, "É ü", 1), (5, " ".join(f"w{k}" for k in range(12)), 1), (6, "one two three", 1)], "item_id long, text string, token int")
     got = listed(decontaminate.decontaminate(odd, benchmark).select("doc_id", "n_words", "n_hit", "items"))
