@@ -119,14 +119,14 @@ def _last_level(size: int, before: int):
             alive = _alive(b, h, row, start, size, before)
             row, start = row[alive], start[alive]
             whole = ngrams(h, size)[start] if len(start) else np.empty(0, np.uint64)
-            # 16 more bits of hash, 16 bits of the text's key, 32 bits of place.
+            # 16 more bits of hash over 32 bits of place.
             more = mix(whole + (mix(h[start] ^ (h[start + size // 2] << np.uint64(1)) ^ (h[start + size - 1] << np.uint64(2))))) >> np.uint64(48)
-            key = b.column("key").to_numpy(zero_copy_only=False)[row].view(np.uint64) & np.uint64(0xFFFF)
-            at = (more << np.uint64(48)) | (key << np.uint64(32)) | (start - first[row]).astype(np.uint64)
+            at = (more << np.uint64(48)) | (start - first[row]).astype(np.uint64)
             did = b.column("did").to_numpy(zero_copy_only=False)[row]
+            key = b.column("key").to_numpy(zero_copy_only=False)[row]
             for i in range(0, len(at), 200_000):
                 j = i + 200_000
-                yield pa.RecordBatch.from_arrays([pa.array(whole[i:j].view(np.int64)), pa.array(at[i:j].view(np.int64)), pa.array(did[i:j], pa.int64())], ["h", "at", "did"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole[i:j].view(np.int64)), pa.array(at[i:j].view(np.int64)), pa.array(did[i:j], pa.int64()), pa.array(key[i:j], pa.int64())], ["h", "at", "did", "key"])
 
     return level
 
@@ -179,12 +179,12 @@ def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False) -> Dat
         survivors = stage.keep(texts_left.join(alive, ["did", "key"]))
         if survivors.isEmpty():
             break
-    windows = survivors.mapInArrow(_last_level(size, length), "h long, at long, did long").withColumn("more", F.shiftrightunsigned("at", 48))
+    windows = survivors.mapInArrow(_last_level(size, length), "h long, at long, did long, key long").withColumn("more", F.shiftrightunsigned("at", 48))
     earliest = stage.keep(windows.groupBy("h", "more").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h", "more", "a"))
     starts = (windows.join(earliest, ["h", "more"]).filter("did > a")
-              .groupBy("did", F.shiftright("at", 32).bitwiseAND(F.lit(0xFFFF)).alias("tag"))
+              .groupBy("did", "key")
               .agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))
-    lost = survivors.select("did", "key", "text", F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("tag")).join(starts, ["did", "tag"])
+    lost = survivors.select("did", "key", "text").join(starts, ["did", "key"])
     lost = lost.mapInArrow(_apply(size), "did long, key long, n_removed long, kept_sha256 string, kept string")
     lost = lost.dropDuplicates(["did", "key"]) if texts else lost.select("did", "key", "n_removed", "kept_sha256").distinct()
     copy = F.col("first") < F.col("did")

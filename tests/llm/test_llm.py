@@ -433,6 +433,27 @@ def test_substring_dedup_odd(spark, odd):
     assert substring_dedup.substring_dedup(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("same_id", [None, 900])
+def test_substring_dedup_many_texts_of_one_id(spark, same_id):
+    """1,500 texts under one id: some agree in any 16 bits of their keys, and each loses its own words."""
+    rng = random.Random(101)
+    passages = [(k, prose(rng, 12)) for k in range(20)]
+    texts = []
+    for _ in range(1500):
+        a, z = prose(rng, rng.randint(0, 40)).split(), prose(rng, rng.randint(1, 40)).split()
+        texts.append(" ".join([*a, rng.choice(passages)[1], *z]))
+    assert len(set(texts)) == 1500
+    docs = spark.createDataFrame(passages + [(same_id, t) for t in texts], "doc_id long, text string").repartition(4)
+    seen = {tuple(t.split()[k:k + 10]) for _, t in passages for k in range(3)}
+    want = []
+    for t in texts:
+        w = t.split()
+        gone = {p for k in range(len(w) - 9) if tuple(w[k:k + 10]) in seen for p in range(k, k + 10)}
+        want.append((len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    got = substring_dedup.substring_dedup(docs, 10).filter(F.col("doc_id").eqNullSafe(same_id)).select("n_words", "n_removed", "kept_sha256")
+    assert listed(got) == sorted(want, key=str)
+
+
 def test_secrets_brute(spark):
     rng = random.Random(11)
     bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "api__key", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "\n", "é", "日本", "%", "x-1/2+3_.=", "ghp_", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----"]
