@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 Character n-grams that are frequent in a language's sample go into a bit-sliced Bloom filter: each
-slot holds one bit per language, so the AND of a few slots gives the set of all languages that contain
+slot holds one bit per language, in as many words of 64 bits as that takes, so the AND of a few slots gives the set of all languages that contain
 an n-gram.  For a text, each language's popcount over the n-grams is corrected for the filter's false
 positives (its share of set bits to the power of the number of hashes), and the largest wins; equal
 counts go to the language that sorts first.
@@ -9,12 +9,11 @@ counts go to the language that sorts first.
 The sample is bounded: `per_language` documents of each language, those with the smallest hash of
 their doc_id, and `grams` n-grams of each.  Null or letterless text is `und` with score 0.  Repeated
 rows are judged alike; a null doc_id is never learned from.  If nothing can be learned, all is `und`.
-At most 64 languages: those with the most documents in the sample.
+All languages are learned; the n-grams kept, and with them the driver's memory, grow with their number.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,24 +66,26 @@ def gram_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 @dataclass
 class LanguageModel:
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # a row for each 64 languages
     false_rates: np.ndarray
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """The set of languages, as bits, that contain each n-gram."""
-        out = self.slots[_place(grams, 0, len(self.slots))]
-        for k in range(1, HASHES):
-            out &= self.slots[_place(grams, k, len(self.slots))]
-        return out
+    def masks(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        """The set of languages, as bits, that contain each n-gram: for each 64 languages in turn."""
+        places = [_place(grams, k, self.slots.shape[1]) for k in range(HASHES)]
+        for word in self.slots:
+            out = word[places[0]]
+            for place in places[1:]:
+                out &= word[place]
+            yield out
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         grams, rows, has = gram_hashes(texts)
-        masks = self.masks(grams)
         n = np.bincount(rows, minlength=len(texts)).astype(float)
         points = np.empty((len(self.languages), len(texts)))
-        for k, rate in enumerate(self.false_rates):
-            counted = np.bincount(rows[(masks >> masks.dtype.type(k)) & masks.dtype.type(1) > 0], minlength=len(texts))
-            points[k] = np.maximum(0, counted - n * rate) / (1 - rate)
+        for w, masks in enumerate(self.masks(grams)):
+            for k, rate in enumerate(self.false_rates[64 * w:64 * w + 64]):
+                counted = np.bincount(rows[(masks >> masks.dtype.type(k)) & masks.dtype.type(1) > 0], minlength=len(texts))
+                points[64 * w + k] = np.maximum(0, counted - n * rate) / (1 - rate)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         best = points.argmax(axis=0)
@@ -116,21 +117,20 @@ def learn_languages(docs: DataFrame, per_language: int = 1500, grams: int = 20_0
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     got = counts.withColumn("r", rank).filter(F.col("r") <= grams).select("lang", "gram", "n").toPandas()
-    total = Counter()
-    for lang, n in got.groupby("lang")["n"].sum().items():
-        total[lang] = int(n)
-    languages = sorted(lang for lang, _ in total.most_common(64))
+    total = got.groupby("lang")["n"].sum()
+    languages = sorted(total.index)
     bits = len(languages)
     dtype = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
-    got = got[got["lang"].isin(languages)]
     got["rate"] = got["n"] / got["lang"].map(total)
     got = got[got["rate"] >= share * got.groupby("gram")["rate"].transform("max")]
-    slots = np.zeros(1 << max(10, int(np.ceil(np.log2(max(1, 8 * max(1, len(got))))))), dtype)
+    # Each language is a filter of its own, so with room for 16 full ones any number has false rates under 1e-4.
+    room = 8 * max(1, min(len(got), 16 * int(got["lang"].value_counts().max() if len(got) else 0)))
+    slots = np.zeros((max(1, -(-bits // 64)), 1 << max(10, int(np.ceil(np.log2(room))))), dtype)
     for k, lang in enumerate(languages):
         keys = got.loc[got["lang"] == lang, "gram"].to_numpy().view(np.uint64)
         for h in range(HASHES):
-            slots[_place(keys, h, len(slots))] |= dtype(1 << k)
-    rates = np.array([((slots >> dtype(k)) & dtype(1)).mean() ** HASHES for k in range(bits)])
+            slots[k // 64][_place(keys, h, slots.shape[1])] |= dtype(1 << k % 64)
+    rates = np.array([((slots[k // 64] >> dtype(k % 64)) & dtype(1)).mean() ** HASHES for k in range(bits)])
     return LanguageModel(languages, slots, rates)
 
 

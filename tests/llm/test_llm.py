@@ -351,6 +351,18 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in language.identify(docs.limit(3), nothing).collect()} == {"und"}
 
 
+def test_language_of_seventy(spark):
+    rng = random.Random(81)
+    names = [f"l{k:02}" for k in range(70)]
+    text = lambda k: " ".join("".join(chr(0x4E00 + 6 * k + rng.randrange(6)) for _ in range(5)) for _ in range(20 + k))
+    docs = spark.createDataFrame([(100 * k + j, text(k), name) for k, name in enumerate(names) for j in range(4)], "doc_id long, text string, lang string")
+    model = language.learn_languages(docs.filter("doc_id % 2 = 0"))
+    assert model.languages == names
+    got, score = model.judge([text(k) for k in range(70)])
+    assert got == names and score.min() > 0.5
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()} == {r.doc_id: r.lang for r in docs.collect()}
+
+
 def test_mixing(spark, odd):
     rng = random.Random(10)
     rows = [(k, prose(rng, rng.choice([1, 40, 300])), None if k % 5 == 4 else f"s{k % 5 if k % 10 else 0}") for k in range(150)] + [(1000, None, "empty"), (1001, "", "a")]
