@@ -11,7 +11,8 @@ words are, in which every n-gram of the run stands.  Training knows labels of wh
 logistic step, fitted on texts kept apart, maps the highest window's score to a probability.
 
 The model is fitted on a bounded sample: `most` labelled texts of each class at most, those with the
-smallest hash of doc_id.  Scoring covers whole texts.
+smallest hash of doc_id.  Scoring covers whole texts.  A subword is learned if three texts of the sample have it,
+however large the sample is; the decay holds back rare ones.
 
 Null and wordless texts have score BLANK.  Repeated rows score alike.  Rows without a label, with conflicting
 labels or a null id are never learned from.  Without labels of both classes every score is BLANK.
@@ -184,7 +185,7 @@ class _Bags:
     end: np.ndarray
 
 
-def bags(texts: list[bytes], share: float, least: int) -> _Bags:
+def bags(texts: list[bytes], least: int) -> _Bags:
     buckets, owner, which, first = distinct_words(texts)
     n_sub = np.bincount(owner)
     text, start, end = windows(first)
@@ -197,16 +198,16 @@ def bags(texts: list[bytes], share: float, least: int) -> _Bags:
         n = begin[word + 1] - begin[word]
         entry = order[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         seen[np.unique(buckets[entry])] += 1
-    enough = seen >= max(least, share * len(texts))
+    enough = seen >= least
     kept = enough[buckets]
     used, slot = np.flatnonzero(enough), (np.cumsum(enough) - 1).astype(np.int32)[buckets[kept]]
     return _Bags(which.astype(np.int32), owner[kept], slot, used, n_sub, text, start, end)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: tuple[int, int] = (20, 40), rate: float = 0.1, decay: float = 3e-4, share: float = 0.01, least: int = 3, seed: int = 5) -> ToxicModel:
+def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: tuple[int, int] = (20, 40), rate: float = 0.1, decay: float = 3e-4, least: int = 3, seed: int = 5) -> ToxicModel:
     """Full-batch Adam on embeddings and softmax: first on all windows of a text, then on its highest window and,
     in a toxic text, on all that look toxic by now, so that none of its insults is forgotten for a plainer one."""
-    b = bags(texts, share, least)
+    b = bags(texts, least)
     n_words, size, y = len(b.n_sub), (b.end - b.start).astype(float), labels.astype(float)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(b.used), dims)), rng.normal(0, 0.5, (2, dims)), np.zeros(2)]

@@ -255,6 +255,23 @@ def test_toxicity_reads_long_runs_whole():
     assert scores[1::2].min() > scores[::2].max()
 
 
+def test_toxicity_learns_many_rare_insults():
+    rng = random.Random(62)
+    insults = ["".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(9)) for _ in range(100)]
+    syllables = "ba de fi go ku la me ni po ru sa te vi wo zu".split()
+
+    def made(toxic, k):
+        w = [rng.choice(syllables) + rng.choice(syllables) for _ in range(rng.randint(10, 40))]
+        if toxic:
+            w[rng.randrange(len(w))] = insults[k % 100]  # each marks 1 % of the toxic texts
+        return " ".join(w).encode()
+
+    labels = np.repeat([0, 1], 1500)
+    model = toxicity.train([made(y, k) for k, y in enumerate(labels)], labels)
+    assert (model.scores([made(1, k) for k in range(100)]) >= 0.5).mean() >= 0.95
+    assert (model.scores([made(0, k) for k in range(400)]) >= 0.5).mean() <= 0.02
+
+
 def test_toxicity_words_and_pieces():
     split = lambda t: [bytes(d[a:z]).decode() for d, s, e, _ in [toxicity.split_words([t.encode()])] for a, z in zip(s, e, strict=True)]
     assert split("caf\xe9\u3001\u6771\u4eac\u3002a\xa0b\u2014c\u200bd\uff0ce \U0001f600x") == ["caf\xe9", "\u6771\u4eac", "a", "b", "c", "d", "e", "\U0001f600x"]
