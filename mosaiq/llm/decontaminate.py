@@ -10,7 +10,8 @@ Windows are broadcast in parts of at most PART windows (about 50 MB), one pass o
 each part: the benchmark is the stated query set, and a larger one costs more passes, not more memory.
 
 Null text has no words.  Repeated rows stay and are judged alike.  An empty benchmark hits nothing; an
-empty table gives an empty result.  Null item ids are left out.
+empty table gives an empty result.  Windows of items without an id hit like all others; null counts as one
+item (n_items, as in OP5_SQL), the last of `items`, and adds nothing to the joined ids (items_sha256).
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ def words_of(text: Column) -> Column:
 def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
     """window (array of words) and items: the distinct windows of benchmark(item_id, text)."""
     words = F.filter(words_of(F.col("text")), lambda w: w != "")
-    w = benchmark.filter("item_id IS NOT NULL").select("item_id", words.alias("words")).filter("size(words) > 0")
+    w = benchmark.select("item_id", words.alias("words")).filter("size(words) > 0")
     return (w.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(size(words) - {size}, 0)), i -> slice(words, i + 1, {size}))")).alias("window"))
-            .groupBy("window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
+            .groupBy("window").agg(F.array_sort(F.transform(F.collect_set(F.struct(F.col("item_id").cast("string").alias("id"))), lambda s: s["id"])).alias("items")))  # collect_set alone leaves out nulls
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, n_hit, items (sorted ids as strings), contaminated, text_key
+    """Per row of docs(doc_id, text): doc_id, n_words, n_hit, items (sorted ids as strings, null last), contaminated, text_key
     (xxhash64 of the text)."""
     spark = docs.sparkSession
     stage = Stage(spark, "decontaminate")

@@ -320,6 +320,25 @@ def test_decontaminate_brute(spark, monkeypatch):
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in out.collect()} == want
 
 
+def test_decontaminate_items_without_id(spark, tmp_path):
+    rng = random.Random(71)
+    passages = [prose(rng, n) for n in (14, 12, 11, 3)]
+    items = [(1, passages[0]), (None, passages[1]), (None, passages[2]), (2, passages[2]), (None, passages[3]), (None, None)]
+    docs = [(k, prose(rng, 9, WORDS) + " " + " ".join(p) + " " + prose(rng, 9, WORDS)) for k, p in enumerate([[], passages[:1], passages[1:2], passages[2:3], passages[:3], passages[3:], passages])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op5_decontaminate"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(0, 0, ""), (14, 1, "1"), (12, 1, ""), (11, 2, "2"), (37, 3, "1,2"), (3, 1, ""), (40, 3, "1,2")]
+    assert {k: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items()} == {k: (n, m, sha(t), n > 0) for k, (n, m, t) in enumerate(want)}
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got.values()) == sorted(con.execute(queries.ORACLES["op5_decontaminate"]).fetchall())
+
+
 def test_warc(spark):
     pages = [(1, "http://a.b/x", "hé"), (2, "http://a.b/x", "hé"), (3, None, None), (None, "http://a.b/x y\r\n", "hé"), (5, "zz", ""), (5, "zz", ""), (6, "http://c.a.b/", "z" * 300_000)]
     df = spark.createDataFrame([(*p, "q", 1) for p in pages], "page_id long, url string, html string, key string, at int").repartition(3)
