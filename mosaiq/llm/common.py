@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,25 +27,31 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/mosaiq-checkpoints")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder all executors see, with its scheme: spark.checkpoint.dir.
+
+    Where that is unset, a session within one process (tests, a notebook) gets a folder of its own; a cluster has no
+    folder that we could know of, so there it is an error."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="mosaiq-"))
+        where = context.getCheckpointDir()
+    path = context._jvm.org.apache.hadoop.fs.Path(where.rstrip("/"))
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class Stage:
     """Intermediate tables of one run, written as Parquet in the shared folder.
 
     A written table cuts the lineage: if an executor is lost later, only what came after is redone.
-    drop() deletes tables that no later step reads.
+    drop() deletes tables that no later step reads; close() deletes all, once the results that read them are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -51,12 +59,16 @@ class Stage:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            delete(self.spark, self.paths.pop(id(df)))
+            delete(self.spark, self.paths.pop(id(df))[1])
+
+    def close(self) -> None:
+        delete(self.spark, self.root)
+        self.paths.clear()
 
 
 def delete(spark: SparkSession, path: str) -> None:

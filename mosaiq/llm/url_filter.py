@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions, joined to rules on a short hash prefix.
 
-Each url becomes a few expressions `host-suffix + path-prefix`.  Only numbers of labels and path
-lengths that occur among the rules are expanded, so the expansion is exact for any rule and bounded
+Each url becomes a few expressions `host-suffix + path-prefix`.  Only the pairs of a number of labels and a path
+length that some rule has are expanded, so the expansion is exact for any rule and bounded
 by the rules, not by the url.  Expressions meet rules by an equi-join on 32 bits of SHA-256; the
 whole digest then confirms, and the longest rule wins.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table
+from mosaiq.llm.common import Stage, table
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -37,24 +37,28 @@ def _short(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+ADDED = ("host", "path", "rule", "verdict")
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """urls with host, path, rule and verdict added.  rules: host, path (from its slash on), verdict."""
+    """urls with host, path, rule and verdict added; its own columns of those names are left out.  rules: host, path
+    (from its slash on), verdict."""
+    spark = urls.sparkSession
+    stage = Stage(spark, "url-filter")
     rules = (rules.select("host", "path", "verdict")
              .filter("host IS NOT NULL AND path IS NOT NULL AND host <> ''")
              .groupBy(F.translate("host", *LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict")))
-    # Distinct shapes of rules: bounded by the longest host and path that a url can have.
-    shapes = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().collect()
-    labels, chars = sorted({r.labels for r in shapes}), sorted({r.chars for r in shapes})
-    parts = urls.select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    # Shapes of rules, that is numbers of labels and of path characters that occur together.
+    shapes = sorted(rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars")).distinct().collect())
+    own = [c for c in urls.columns if c not in ADDED]
+    parts = urls.select(*[urls[c] for c in own], host_of(urls[url]).alias("host"), path_of(urls[url]).alias("path"))
     if not shapes:
         return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    n = F.size(F.split("host", r"\."))
-    hosts = F.array_compact(F.array(*[F.when(n >= k, F.substring_index("host", ".", -k)) for k in labels]))
-    paths = F.array_compact(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in chars]))
+    shape = F.explode(F.array(*[F.struct(F.lit(s.labels).alias("labels"), F.lit(s.chars).alias("chars")) for s in shapes]))
     asked = (parts.filter("host <> ''").select("host", "path").distinct()
-             .select("host", "path", F.explode(hosts).alias("h"), paths.alias("ps"))
-             .select("host", "path", "h", F.explode("ps").alias("p"))
-             .select("host", "path", _digest(F.col("h"), F.col("p")).alias("digest")))
+             .select("host", "path", F.size(F.split("host", r"\.")).alias("n"), shape.alias("s"))
+             .filter("n >= s.labels AND length(path) >= s.chars")
+             .select("host", "path", _digest(F.expr("substring_index(host, '.', -s.labels)"), F.expr("substring(path, 1, s.chars)")).alias("digest")))
     asked = asked.withColumn("short", _short(F.col("digest")))
     known = rules.select(F.concat("host", "path").alias("rule"), "verdict", _digest(F.col("host"), F.col("path")).alias("full"), F.length("host").alias("h_len"))
     known = known.withColumn("short", _short(F.col("full")))
@@ -62,8 +66,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
             .groupBy("host", "path")
             .agg(F.max(F.struct(F.length("rule").alias("len"), "h_len", "rule", "verdict")).alias("best"))
             .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("found")))
+    # Written first: a join right on top of its own aggregation could not be split where very many rows have one url.
+    best = stage.keep(best)
     return (parts.join(best, ["host", "path"], "left")
-            .select(*[parts[c] for c in parts.columns], "rule", F.coalesce("found", F.lit(default)).alias("verdict")))
+            .select(*[parts[c] for c in own], "host", "path", best["rule"], F.coalesce(best["found"], F.lit(default)).alias("verdict")))
 
 
 #: The rules of the contract.

@@ -68,6 +68,15 @@ def test_url_filter(spark):
     assert [r.verdict for r in url_filter.judge_urls(urls.filter("page_id = 5"), spark.createDataFrame([("net", "/", "allow"), ("NET", "/", "block"), (None, "/", "block"), ("net", None, "allow")], "host string, path string, verdict string")).collect()] == ["block"]
 
 
+def test_url_filter_clashing_columns(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    urls = spark.createDataFrame([(1, "http://a.net/", "h", "p", "r", "v", "d", 1, "s", "k")], "page_id long, url string, host string, path string, rule string, verdict string, digest string, n int, short string, found string")
+    out = url_filter.judge_urls(urls, rules)
+    assert out.columns == ["page_id", "url", "digest", "n", "short", "found", "host", "path", "rule", "verdict"]
+    assert [tuple(r) for r in out.collect()] == [(1, "http://a.net/", "d", 1, "s", "k", "a.net", "/", "net/", "block")]
+    assert [r.host for r in url_filter.judge_urls(urls.select("page_id", F.col("url").alias("path")), rules, url="path").collect()] == ["a.net"]
+
+
 def test_url_filter_brute(spark):
     rng = random.Random(3)
     label = lambda: rng.choice(["a", "b", "net", "org", "c-d"])
