@@ -108,6 +108,28 @@ def test_quotient_filters_merge_losslessly(spark):
         assert {r.fp: r.n for r in exact_dedup.repeated_fingerprints(fps, rows).collect()} == {k: n for k, n in count.items() if n > 1}
 
 
+@pytest.mark.parametrize("bits", [3, 8, 13, 64])
+def test_quotient_filter(bits):
+    """Runs, shifted runs, counts of several digits, merging filters of unlike size and what is written of them."""
+    rng = random.Random(bits)
+    whole, count = exact_dedup.QuotientFilter.of(np.empty(0, np.uint64), np.empty(0, np.uint64), bits), defaultdict(int)
+    for size in (1, 40, 3, 300, 0, 7):
+        part = defaultdict(int)
+        for _ in range(size):
+            part[rng.choice([rng.getrandbits(bits), (1 << bits) - 1, rng.randint(0, 7)])] += rng.choice([1, 1, 2, 3, 255, 256, 10**6, 2**40])
+        keys = np.array(sorted(part), np.uint64)
+        one = exact_dedup.QuotientFilter.of(keys, np.array([part[k] for k in sorted(part)], np.uint64), bits)
+        assert 1 <= one.q < bits and one.ends.sum() == one.runs.sum() == len(np.unique(keys >> np.uint64(bits - one.q)))
+        one = exact_dedup.QuotientFilter.loads(one.dumps(), bits)
+        got = one.entries()
+        assert got[0].tolist() == sorted(part) and got[1].tolist() == [part[k] for k in sorted(part)]
+        whole = whole.merge(one) if size % 2 else one.merge(whole)
+        for k, n in part.items():
+            count[k] += n
+        got = whole.entries()
+        assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == dict(count) and got[0].tolist() == sorted(count)
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for i, t in rows:
