@@ -463,12 +463,68 @@ def test_mixing(spark, odd):
     assert mixing.taken_words(mixing.mix_sources(docs.limit(0))).count() == 0
 
 
+def test_mixing_draws(spark):
+    """Shards' counts carry the result: they fill each shard, sum up to each source's slots, vary, and taken follows them."""
+    docs = spark.createDataFrame([(k, " ".join(["w"] * 40), "abc"[min(k % 8, 2)]) for k in range(800)], "doc_id long, text string, source string")
+    mix = mixing.mix_sources(docs, block=16, shard=64)
+    draws = mix.draws.collect()
+    slots = {r.sid: r.slots for r in mix.sources.collect()}
+    total, by_shard, by_source = sum(slots.values()), defaultdict(int), defaultdict(list)
+    for r in sorted(draws):
+        assert r.place == by_shard[r.shard] and r.start == sum(n for n in by_source[r.sid])
+        by_shard[r.shard] += r.n
+        by_source[r.sid].append(r.n)
+    assert all(n == min(64, total - 64 * k) for k, n in by_shard.items()) and len(by_shard) == -(-total // 64)
+    assert {k: sum(v) for k, v in by_source.items()} == slots
+    share = slots[0] / total
+    spread = np.array(by_source[0][:-1]) - 64 * share
+    assert 0.5 < spread.var() / (64 * share * (1 - share)) < 1.6 and abs(spread).max() > 0  # as a multinomial's
+    assert "shard" in executed(mixing.taken_words(mix))
+    got = mix.slots().collect()
+    assert sorted(r.slot for r in got) == list(range(total)) and all(r.slot // 64 == r.shard for r in got)
+    for sid, n in slots.items():
+        assert sorted(r.i for r in got if r.sid == sid) == list(range(n))
+    uses = defaultdict(int)
+    for r in got:
+        uses[r.sid, r.block] += 1
+    want = defaultdict(int)
+    for r in mix.docs.collect():
+        for p in range(r.start, r.start + r.size):
+            want[r.doc_id] += uses[r.sid, p // 16]
+    assert {r.doc_id: r.taken for r in mixing.taken_words(mix).collect()} == want
+    fewer = mixing.Mix(mix.docs, mix.sources, mix.draws.filter("shard <> 0"), 16, 64, 11)
+    assert sum(r.taken for r in mixing.taken_words(fewer).collect()) == sum(want.values()) - 64 * 16
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(12)
+    sizes = {f"s{k:03}": rng.choice([0, 1, 7, 100, 5000]) for k in range(200)} | {None: 3}
+    names = sorted(s for s in sizes if s) + [None]
+    stage = common.Stage(spark, "test")
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5), (5, 2, 1), 3.0, stage).collect()
+    assert [r.source for r in sorted(got)] == names and [r.sid for r in sorted(got)] == list(range(201))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    free, left, target = set(names), float(sum(sizes.values())), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            free.remove(s)
+    assert {r.source: r.target for r in got} == pytest.approx(target)
+
+
 def test_mixed_blocks_hold_the_documents_words(spark):
-    docs = spark.createDataFrame([(k, " ".join(f"d{k}w{j}" for j in range(3 * k)), "s") for k in range(40)], "doc_id long, text string, source string")
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(3 * k)), "s") for k in range(40)] + [(None, "n1 n2 n3", "s"), (None, "m1 m2", "s"), (7, "other words", "s"), (7, "other words", "s"), (41, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mix = mixing.mix_sources(docs, block=10)
     blocks = mixing.mixed_blocks(docs, mix).collect()
-    n = 3 * sum(range(40))
-    assert sorted(r.slot for r in blocks) == list(range(-(-n // 10))) and sorted(w for r in blocks for w in r.text.split()) == sorted(f"d{k}w{j}" for k in range(40) for j in range(3 * k))
+    words = [w for _, t, _ in rows for w in (t or "").split()]
+    assert sorted(r.slot for r in blocks) == list(range(-(-len(words) // 10))) and sorted(w for r in blocks for w in r.text.split()) == sorted(words)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257])
@@ -610,7 +666,7 @@ def test_native_operators_run_no_python(spark, sf):
     windows = decontaminate.windows_of(benchmark, 10)
     counts = decontaminate.word_counts(docs, windows.select(F.explode("window").alias("word")).distinct())
     ready = decontaminate.prefix_tokens(windows, counts)
-    for df in (decontaminate.decontaminate(docs, benchmark), ready, decontaminate.find_windows(docs, ready), mix.slots, mix.docs, mix.sources, mixing.taken_words(mix), mixing.mixed_blocks(docs, mix)):
+    for df in (decontaminate.decontaminate(docs, benchmark), ready, decontaminate.find_windows(docs, ready), mix.slots(), mix.draws, mix.docs, mix.sources, mixing.taken_words(mix), mixing.mixed_blocks(docs, mix)):
         assert not re.search("Python|Pandas|Arrow", executed(df))
 
 
