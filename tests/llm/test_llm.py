@@ -612,10 +612,58 @@ def test_secrets_odd(spark, odd):
 
 
 def test_automaton_is_minimal_and_complete():
-    step, masks, resets = secrets.compile_rules(secrets.BASE)
-    assert masks[0] == 0 and step.max() == len(step) - 1 and resets[ord("\n")] and not resets[ord("a")]
-    merged = np.unique(np.column_stack([masks, step]), axis=0)
-    assert len(merged) == len(step)
+    scanner = secrets.Scanner.of(secrets.RULES)
+    for a in (scanner.combined, *scanner.matches, *scanner.kept):
+        assert a.masks[0] == 0 and a.step.max() == len(a.step) - 1
+        assert len(np.unique(np.column_stack([a.masks, a.step]), axis=0)) == len(a.step)
+    assert scanner.combined.resets[ord("\n")] and not scanner.combined.resets[ord("a")]
+
+
+def test_regexes_are_compiled_themselves():
+    """Automata of regexes against the regex engine: all places at which a match ends, and spans."""
+    rng = random.Random(13)
+    for regex, chars in [("a(?:b|cd)+e?", "abcde"), ("[a-c]{2}x{1,3}", "abcx"), ("(?ai:ab|ba)[-+.]", "aAbB-+."), (r"\x41\x20*[:=]", "A :="), ("-*a--", "-a"), ("ab{2,}", "ab")]:
+        one = secrets.compile_trees([secrets.parse(regex)], anchored=True)
+        free = secrets.compile_trees([secrets.parse(regex)])
+        for _ in range(300):
+            t = "".join(rng.choice(chars) for _ in range(rng.randint(0, 14)))
+            ends = {e for s in range(len(t)) for e in range(s, len(t) + 1) if re.fullmatch(regex, t[s:e])}
+            assert (secrets.hits(np.frombuffer(t.encode(), np.uint8), free, piece=3)[0] + 1).tolist() == sorted(ends), (regex, t)
+            longest = max((e for e in range(len(t) + 1) if re.fullmatch(regex, t[:e])), default=-1)
+            assert one.end(t.encode(), 0, len(t)) == longest, (regex, t)
+    for wrong in ("a.b", "[^a]", "(a", "a)", r"\d", "*a", "(?=a)"):
+        with pytest.raises(ValueError):
+            secrets.parse(wrong)
+    with pytest.raises(ValueError):
+        secrets.at_least(secrets.parse("a+b+"), 0, 5)
+    with pytest.raises(ValueError):
+        secrets.Scanner.of((secrets.Rule("all", "a*", 0, 0),))
+
+
+def test_secrets_consume_short_matches_and_unbroken_texts():
+    import time
+
+    rng = random.Random(14)
+    rules = list(secrets.RULES)
+    scan = secrets._scan(secrets.RULES)
+
+    def spans(texts):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+        return [[(s["start"], s["end"], s["kind"]) for s in row.as_py()] for b in scan(iter([batch])) for row in b.column("spans")]
+
+    texts = ["token:secret:abcdefgh", "token=token=abcdefgh", "secret:password:abcdefgh1", "token" + " " * 3000 + "=" + " " * 3000 + "abcdefgh", "-----BEGIN " + "A " * 4000 + "PRIVATE KEY-----", "f" * 31 + "g" + "f" * 32,
+             "x" * 511 + "AKIA" + "0" * 12, "ghp_" + "a" * 1030, "\u00e9" * 600 + " token=abcdefgh"]
+    assert spans(texts) == [secrets.exact_spans(t, rules) for t in texts] and sum(map(len, spans(texts))) >= 8
+    words = [rng.choice(["plain", "words", "stand", "here", "token"]) for _ in range(400_000)]
+    times = []
+    for glue in (", ", "_"):
+        text = glue.join(words)
+        began = time.process_time()
+        assert spans([text]) == [secrets.exact_spans(text, rules)]
+        times.append(time.process_time() - began)
+    assert times[1] <= 3 * times[0] + 1
 
 
 def test_queries_agree_with_brute_force(spark, sf):
