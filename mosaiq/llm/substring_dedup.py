@@ -1,7 +1,7 @@
 """Substring dedup by level-wise doubling.
 
-Levels are window lengths, each twice the one before, up to the length that counts: 25 and 50 words, or 25, 50, 100
-and 200.  At a level below the last, the window with the smallest hash in a run of the full length stands for all of
+Levels are window lengths, each twice the one before, up to the length that counts: 13, 25 and 50 words, or 13, 25, 50,
+100 and 200.  At a level below the last, the window with the smallest hash in a run of the full length stands for all of
 that run's windows (the same one wherever the run stands), so a text sends one hash for many words.  Windows that
 repeat across documents survive and alone are extended to twice the length; what stands nowhere else is dropped, until
 nothing survives or the full length is reached.  There the windows that survived are hashed whole, and those that also
@@ -61,7 +61,7 @@ def _standing(h: np.ndarray, start: np.ndarray, size: int, length: int) -> np.nd
     return _least(ngrams(h, length), size - length + 1)[start]
 
 
-def lengths(size: int, first: int = 25) -> list[int]:
+def lengths(size: int, first: int = 12) -> list[int]:
     """The levels below the full size: half of it, half of that, and so on, but none below `first` words save the half."""
     out = [-(-size // 2)]
     while -(-out[0] // 2) >= first:
@@ -156,37 +156,41 @@ def _apply(size: int):
     return apply
 
 
-def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False, first: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs(doc_id: long, text); with texts, also `kept`, the
-    words that stay, for the rows that lost some but not all."""
+    words that stay, for the rows that lost some but not all.  first: see lengths(); it changes the work, not the result."""
     spark = docs.sparkSession
     stage = Stage(spark, "substring-dedup")
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("key"), "doc_id", "text")
-    levels = lengths(size)
+    levels = lengths(size, first)
     level1 = stage.keep(docs.mapInArrow(_first_level(size, levels[0]), "did long, key long, doc_id long, n_words long, sha string, halves array<long>"))
     copies = level1.filter(F.col("n_words") >= size).groupBy("sha").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("first < last").select("sha", "first")
     copies = stage.keep(copies)
     standing = level1.join(copies, "sha", "left").filter("first IS NULL OR first = did").select("did", "key", "halves").filter("size(halves) > 0")
-    texts_left = docs.select("did", "key", "text")
+    texts_left, survivors = docs.select("did", "key", "text"), None
     for k, length in enumerate(levels):
         if k:
-            standing = survivors.mapInArrow(_next_level(size, levels[k - 1], length), "did long, key long, halves array<long>")
+            standing = stage.keep(survivors.mapInArrow(_next_level(size, levels[k - 1], length), "did long, key long, halves array<long>"))
             texts_left = survivors.drop("halves")
         halves = standing.select("did", "key", F.explode("halves").alias("h"))
         # Written first: a join right on top of its own aggregation could not be split where one hash has very many rows.
         repeated = stage.keep(halves.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h"))
-        alive = halves.join(repeated, "h", "left_semi").groupBy("did", "key").agg(F.collect_set("h").alias("halves"))
-        survivors = stage.keep(texts_left.join(alive, ["did", "key"]))
+        alive = stage.keep(halves.join(repeated, "h", "left_semi").groupBy("did", "key").agg(F.collect_set("h").alias("halves")))
+        before, survivors = survivors, stage.keep(texts_left.join(alive, ["did", "key"]))
+        stage.drop(repeated, alive, *([before, standing] if k else []))
         if survivors.isEmpty():
             break
     windows = survivors.mapInArrow(_last_level(size, length), "h long, at long, did long, key long").withColumn("more", F.shiftrightunsigned("at", 48))
     earliest = stage.keep(windows.groupBy("h", "more").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h", "more", "a"))
     starts = (windows.join(earliest, ["h", "more"]).filter("did > a")
               .groupBy("did", "key")
-              .agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))
+              .agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))  # a text's words, at most
+    starts = stage.keep(starts)
+    stage.drop(earliest)
     lost = survivors.select("did", "key", "text").join(starts, ["did", "key"])
     lost = lost.mapInArrow(_apply(size), "did long, key long, n_removed long, kept_sha256 string, kept string")
-    lost = lost.dropDuplicates(["did", "key"]) if texts else lost.select("did", "key", "n_removed", "kept_sha256").distinct()
+    lost = stage.keep(lost.dropDuplicates(["did", "key"]) if texts else lost.select("did", "key", "n_removed", "kept_sha256").distinct())
+    stage.drop(starts, survivors)
     copy = F.col("first") < F.col("did")
     return (level1.select("did", "key", "doc_id", "n_words", "sha").join(copies, "sha", "left").join(lost, ["did", "key"], "left")
             .select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
