@@ -334,3 +334,16 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_components(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), size=4, percent=85)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(d, r) AS (SELECT DISTINCT x, x FROM sides UNION SELECT d, y FROM reach JOIN sides ON r = x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) ON d = doc_id
+"""

@@ -16,4 +16,11 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op9_substring_dedup": substring_dedup.OP9_SQL}
+ORACLES = {
+    "op1_url_filter": url_filter.OP1_SQL,
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
+}

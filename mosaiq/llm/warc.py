@@ -287,3 +287,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = write_archive(pages, f"{stage.root}/archive", stage)
     parts = build_index(captures, f"{stage.root}/index", stage)
     return read_records(find_captures(pages, parts)).drop("url")
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+d AS (SELECT *, [strpos('0123456789abcdef', sha1(html)[i]) - 1 for i in range(1, 41)] AS h FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((h[(5 * i) // 4 + 1] * 16 + h[(5 * i) // 4 + 2]) >> (3 - (5 * i) % 4)) & 31) + 1] for i in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM d
+"""
