@@ -6,8 +6,9 @@ an n-gram.  For a text, each language's popcount over the n-grams is corrected f
 positives (its share of set bits to the power of the number of hashes), and the largest wins; equal
 counts go to the language that sorts first.
 
-The sample is bounded: `per_language` documents of each language, those with the smallest hash of
-their doc_id, and `grams` n-grams of each.  Null or letterless text is `und` with score 0.  Repeated
+The sample is bounded: `per_language` distinct documents of each language, those with the smallest hash of
+id and text, and `grams` n-grams of each.  Rows that cannot be among them are left out before any shuffle, by a bound on the hash that
+follows from the language's count of rows, so a language that most rows have sends no more rows to a task than others.  Null or letterless text is `und` with score 0.  Repeated
 rows are judged alike; a null doc_id is never learned from.  If nothing can be learned, all is `und`.
 All languages are learned; the n-grams kept, and with them the driver's memory, grow with their number.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import mix, pair, small, table
+from mosaiq.llm.common import Stage, mix, pair, small, table
 
 SIZES = (2, 3, 4)
 HASHES = 3
@@ -101,10 +102,17 @@ def _place(grams: np.ndarray, k: int, n: int) -> np.ndarray:
 def learn_languages(docs: DataFrame, per_language: int = 1500, grams: int = 20_000, least: int = 5, share: float = 0.25) -> LanguageModel:
     """Learns from docs(doc_id, text, lang).  An n-gram belongs to a language if it occurs there `least` times and at
     `share` of the rate of the language that has it most."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").withColumn("r", rank).filter(F.col("r") <= per_language).select("doc_id", "lang")
-    # At most per_language rows a language, so it is broadcast.
-    sample = docs.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").filter("text IS NOT NULL").select("lang", "text")
+    stage = Stage(docs.sparkSession, "language")
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    known = known.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 11))
+    # Far more than per_language of a language's rows lie below this, whatever its size.
+    bound = (per_language + 8 * per_language ** 0.5 + 32) / F.count("*") * 2.0 ** 53
+    below = stage.keep(known.groupBy(F.col("lang").alias("of")).agg(F.least(bound, F.lit(2.0 ** 53)).alias("bound")))
+    near = known.join(below, F.col("lang") == F.col("of")).filter("hash <= bound").select("doc_id", "lang", "key", "hash").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id", "key"))
+    ids = near.withColumn("r", rank).filter(F.col("r") <= per_language).select("doc_id", "lang", "key")
+    # At most per_language rows a language, so it is broadcast.  Of repeated rows one is read.
+    sample = known.join(F.broadcast(stage.keep(ids)), ["doc_id", "lang", "key"], "left_semi").select("doc_id", "lang", "key", "text").dropDuplicates(["doc_id", "lang", "key"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, "text"):
