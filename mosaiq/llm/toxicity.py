@@ -11,7 +11,8 @@ words are, in which every n-gram of the run stands.  Training knows labels of wh
 logistic step, fitted on texts kept apart, maps the highest window's score to a probability.
 
 The model is fitted on a bounded sample: `most` labelled texts of each class at most, those with the
-smallest hash of doc_id.  Scoring covers whole texts.  A subword is learned if three texts of the sample have it,
+smallest hash of doc_id, and of them in that order as many as have `most_bytes` bytes together; no text is cut.  Scoring covers whole texts.  Of
+different texts with one labelled id, the one with the smallest hash is taken.  A subword is learned if three texts of the sample have it,
 however large the sample is; the decay holds back rare ones.
 
 Null and wordless texts have score BLANK.  Repeated rows score alike.  Rows without a label, with conflicting
@@ -26,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mosaiq.llm.common import encoded, mix, pair, small, span_hashes, table
+from mosaiq.llm.common import Stage, encoded, mix, pair, small, span_hashes, table
 
 BLANK = 0.01
 BUCKETS = 1 << 17
@@ -288,12 +289,18 @@ def train(texts: list[bytes], labels: np.ndarray, toxic_share: float | None = No
     return model
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> ToxicModel:
-    """Fits on texts of docs(doc_id, text) that labels(doc_id, toxic) marks, `most` of each class at most."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500, most_bytes: int = 32_000_000) -> ToxicModel:
+    """Fits on texts of docs(doc_id, text) that labels(doc_id, toxic) marks: `most` of each class at most, with `most_bytes` bytes at most."""
+    stage = Stage(docs.sparkSession, "toxicity")
     clear = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
     near = lambda y: clear.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")
-    # At most 2 * most rows, so they are broadcast.
-    sample = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(near(0).unionByName(near(1))), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("key"))
+    # At most 2 * most rows, so they are broadcast, and their sizes summed in order.
+    marked = F.broadcast(stage.keep(near(0).unionByName(near(1))))
+    sized = (texts.join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("key", F.octet_length("text").cast("long").alias("bytes"))).alias("t"))
+             .withColumn("so_far", F.sum("t.bytes").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))))
+    fits = stage.keep(sized.filter(F.col("so_far") <= most_bytes).select("doc_id", "toxic", "t.key"))
+    sample = texts.join(F.broadcast(fits), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
     share = clear.agg(F.avg("toxic")).first()[0]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
