@@ -93,7 +93,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     # A vocabulary is at most `size` words a window, so it is broadcast under the same bound.
     counts = word_counts(docs, F.broadcast(vocabulary) if n <= PART else vocabulary)
-    ready = stage.keep(prefix_tokens(windows, counts))
+    # Written first: a join right on top of its own aggregation could not be split at a word that very many windows have.
+    ready = stage.keep(prefix_tokens(windows, stage.keep(counts)))
+    stage.drop(windows)
     parts = -(-n // PART) or 1
     found = reduce(DataFrame.unionByName, [find_windows(docs, ready if parts == 1 else ready.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k)) for k in range(parts)])
     if parts > 1:
