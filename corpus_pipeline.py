@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mosaiq.llm.common import Stage, table
 from mosaiq.llm.decontaminate import decontaminate as find_contaminated
@@ -57,6 +58,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of texts that share 0.8 or more of their five-word n-grams: the smallest id."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("near_dedup needs whole numbers as doc_id")
     stage = Stage(spark, "pipeline-near")
     rows = stage.keep(ngram_components(docs.select(F.col("doc_id").cast("long"), "text"), size=5, percent=80))
     rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "text_key")
