@@ -4,15 +4,21 @@ Every document is its set of word n-grams in one global order, rare ones first.
 fixed-size count sketch over all documents, which only orders: any order gives the same links.
 
 1. Documents with equal sets are one class from here on.
-2. Linked sets must share one of their first n - ceil(t n) + 1 n-grams.  Those n-grams are the keys of
-   candidates.  Groups of at most SMALL classes give all pairs that length and position allow.
-3. A larger group gives each class PIVOTS pairs, with as many typical members of the group.  Groups that
-   still hold several components then are paired in blocks of bounded size, all of them, but never within a
+2. The ordered sets are paths of one prefix tree; linked sets must share one of their first n - ceil(t n) + 1 n-grams.
+   Those are the tree's upper nodes and the keys by which it is dealt out: a node holds the classes that
+   have its n-gram there.  Nodes of at most SMALL classes give all pairs that the overlap so far and the lengths that remain allow.
+3. A larger node first gives each class PIVOTS pairs, with as many typical members of the node.  Nodes that then still
+   hold several components, and more than BLOCK classes, are split by their branches: a class goes down to a child for each n-gram that may
+   be its next common one, with one more n-gram of partial overlap, unless what remains can't reach the threshold, no
+   other class is there, or all classes of the child share an earlier n-gram (their pairs are under that one).
+   What is small enough, or still open after LEVELS branches, is paired in blocks of bounded size, never within a
    component, where another link changes nothing.
 4. A parity sketch (its differing bits never outnumber the differing n-grams) drops pairs that can't reach
-   the threshold.  The rest are checked exactly: a pivot's partners form a prefix tree of their ordered sets,
-   walked with the partial overlap kept at each depth; a subtree ends where the overlap so far and
-   the length that remains can't reach the threshold.
+   the threshold.  The rest are checked exactly: a pivot's partners form a prefix tree of their whole ordered
+   sets, walked once with the partial overlap of each path shared by all sets below; a subtree, known by its shortest and longest set, is
+   cut where the overlap so far and the length that remains can't reach the threshold.
+
+Sets hold 58 bits of hash for each n-gram, so two n-grams of one pair of texts are taken for one with odds of 1 to 2^58 for each pair of n-grams.
 
 Null, empty and wordless texts have an empty set and link with nothing.  Repeated rows are equal sets.  A
 null doc_id sorts last and gives a null component only where no member has an id.  An empty table gives
@@ -36,8 +42,11 @@ BUCKETS = 1 << 20
 SMALL = 16
 PIVOTS = 3
 BLOCK = 256
-#: Partners of a pivot in one prefix tree.
+#: Times that a node is split by its branches.
+LEVELS = 2
+#: Partners of a pivot in one prefix tree, and their n-grams.
 TREE = 128
+TREE_GRAMS = 1_000_000
 PARITY = 16  # words of 64 bits
 
 
@@ -119,7 +128,7 @@ def _describe(size: int, percent: int, classes):
             with np.errstate(over="ignore"):
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(t ^ np.uint64(k)), dtype=np.uint64)]) for k in (3, 5)]
                 s = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
-            first = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+            first = np.minimum(n, np.where(n > 0, n - -(-percent * n // 100) + 1 + LEVELS, 0))
             prefix = t[(np.arange(len(t)) - at[row]) < first[row]]
             bit = mix(t) % np.uint64(64 * PARITY)
             bits = np.bincount(row * (64 * PARITY) + bit.astype(np.int64), minlength=len(n) * 64 * PARITY) & 1
@@ -145,43 +154,36 @@ class Join:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, order, size: int, percent: int, stage: Stage):
         self.docs, self.classes, self.order, self.size, self.percent, self.stage = docs, classes, order, size, percent, stage
+        self.spares: list[DataFrame] = []
+
+    def _spare(self, df: DataFrame) -> DataFrame:
+        """A table that is needed up to freed() alone."""
+        self.spares.append(self.stage.keep(df))
+        return self.spares[-1]
+
+    def freed(self, df: DataFrame) -> DataFrame:
+        """df, written; the tables that it was made from are deleted."""
+        out = self.stage.keep(df)
+        self.stage.drop(*self.spares)
+        self.spares.clear()
+        return out
 
     def groups(self) -> DataFrame:
         """token, rep, n, pos, k (size of the group): the prefix n-grams that several classes share."""
-        each = self.classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+        own = F.slice("prefix", 1, (F.col("n") - F.ceil(F.col("n") * self.percent / 100 - 1e-9) + 1).cast("int"))
+        each = self.classes.select("rep", "n", F.posexplode(own).alias("pos", "token"))
         # Written first, here and below: a join right on top of its own aggregation could not be split at a hot key.
-        shared = self.stage.keep(each.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"))
-        return self.stage.keep(each.join(shared.hint("merge"), "token"))
-
-    def small_pairs(self, groups: DataFrame) -> DataFrame:
-        percent = self.percent
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token, held = None, []
-            out_a, out_b = [], []
-
-            def close() -> None:
-                for i, (x, nx, px) in enumerate(held):
-                    for y, ny, py in held[:i]:
-                        least = -(-(nx + ny) * percent // (100 + percent))
-                        # Before their first common n-gram nothing is shared.
-                        if 100 * min(nx, ny) >= percent * max(nx, ny) and min(nx - px, ny - py) >= least:
-                            out_a.append(min(x, y))
-                            out_b.append(max(x, y))
-
-            for b in batches:
-                for t, x, n, p in zip(*(b.column(c).to_pylist() for c in ("token", "rep", "n", "pos")), strict=True):
-                    if t != token:
-                        close()
-                        token, held = t, []
-                    held.append((x, n, p))
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-                out_a, out_b = [], []
-            close()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-        rows = groups.filter(F.col("k") <= SMALL).select("token", "rep", "n", "pos")
-        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long")
+        shared = self._spare(each.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"))
+        return self.freed(each.join(shared.hint("merge"), "token"))
+
+    def small_pairs(self, rows: DataFrame, shared: int = 1) -> DataFrame:
+        """Pairs of rows(token, rep, n, pos) of a small node, that is one with `shared` common n-grams, whose last one stands at pos."""
+        x = rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "pos")])
+        y = rows.select(F.col("token").alias("token_y"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "pos")])
+        remain = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) + (shared - 1)
+        likely = (100 * F.least("n_x", "n_y") >= self.percent * F.greatest("n_x", "n_y")) & (remain >= needed(F.col("n_x"), F.col("n_y"), self.percent))
+        both = x.hint("merge").join(y.hint("merge"), (F.col("token") == F.col("token_y")) & (F.col("rep_x") < F.col("rep_y")) & likely)
+        return both.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
 
     def star_pairs(self, large: DataFrame) -> DataFrame:
         """Pairs of each class with the pivots of its groups: PIVOTS members with the fewest rarer n-grams before the group's.
@@ -195,24 +197,51 @@ class Join:
         return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
     def unresolved(self, large: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of the groups that hold several components, with their label: token, rep, n, label."""
-        rows = (large.select("token", "rep", "n").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-                .select("token", "rep", "n", F.coalesce("label", "rep").alias("label")))
-        open_ = self.stage.keep(rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token"))
-        return self.stage.keep(rows.join(open_.hint("merge"), "token", "left_semi"))
+        """Rows of the nodes that hold several components, with their label: token, rep, n, pos, k, label."""
+        rows = (large.select("token", "rep", "n", "pos", "k").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+                .select("token", "rep", "n", "pos", "k", F.coalesce("label", "rep").alias("label")))
+        return self._open(rows)
+
+    def _open(self, rows: DataFrame) -> DataFrame:
+        several = self._spare(rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token"))
+        return self.stage.keep(rows.join(several.hint("merge"), "token", "left_semi"))
+
+    def split(self, rows: DataFrame, shared: int) -> DataFrame:
+        """The branches of nodes(token, rep, n, pos, label) with `shared` common n-grams: rows of the same kind, with k."""
+        bounds = self._spare(rows.groupBy("token").agg(F.min("n").alias("shortest")))
+        least = F.greatest("shortest", F.ceil(F.col("n") * self.percent / 100 - 1e-9))  # of the partners that may be there
+        last = F.least(F.size("prefix"), (F.col("n") + shared - needed(F.col("n"), least, self.percent) + 1).cast("int"))
+        each = (rows.select("token", "rep", "n", "pos", "label").join(bounds.hint("merge"), "token")
+                .join(self.classes.select("rep", "prefix").hint("merge"), "rep")
+                .select("token", "rep", "n", "label", "pos", F.posexplode(F.slice("prefix", F.lit(1), F.greatest(F.lit(0), last))).alias("at", "gram")).filter("at > pos")
+                .select(F.xxhash64("token", "gram").alias("token"), F.col("token").alias("node"), "rep", "n", "label", F.col("at").alias("pos")))
+        counts = self._spare(each.groupBy("token").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("k > 1 AND x < y").select("token", "k"))
+        live = self._spare(each.join(counts.hint("merge"), "token"))
+        first = self._spare(live.groupBy("node", "rep").agg(F.min(F.struct("pos", "token"))["token"].alias("first")))
+        # If all of a branch share an earlier one, their pairs are found there.
+        kept = live.join(first.hint("merge"), ["node", "rep"]).groupBy("token").agg(F.min("first").alias("x"), F.max("first").alias("y")).filter("x <> y OR x = token").select("token")
+        return self.freed(live.join(self._spare(kept).hint("merge"), "token", "left_semi").select("token", "rep", "n", "pos", "k", "label"))
+
+    def descend(self, rows: DataFrame) -> DataFrame:
+        """Pairs of all classes in unresolved nodes that are in different components and that the bounds and the sketch allow."""
+        out = self.block_pairs(rows.filter(F.col("k") <= BLOCK))
+        large = rows.filter(F.col("k") > BLOCK)
+        for shared in range(1, LEVELS + 1):
+            if large.isEmpty():
+                return out
+            rows = self.split(large, shared)
+            out = out.unionByName(self.small_pairs(rows.filter(F.col("k") <= SMALL), shared + 1)).unionByName(self.block_pairs(rows.filter((F.col("k") > SMALL) & (F.col("k") <= BLOCK))))
+            large = rows.filter(F.col("k") > BLOCK)
+        return out.unionByName(self.block_pairs(large))
 
     def block_pairs(self, rows: DataFrame) -> DataFrame:
-        """All pairs of classes of a group that are in different components and pass the sketch, by pairs of blocks.
-
-        A pair that shares several groups is given by the first of them."""
+        """All pairs of classes of a node that are in different components and pass the sketch, by pairs of blocks."""
         percent = self.percent
 
         def pairs(batch: pa.Table) -> pa.Table:
-            batch = batch.sort_by("rep")
             rep, n, label, block = (batch.column(c).to_numpy() for c in ("rep", "n", "label", "block"))
             i, j = int(batch.column("i")[0].as_py()), int(batch.column("j")[0].as_py())
             bits = np.array(batch.column("parity").to_pylist(), np.int64).view(np.uint64).reshape(len(rep), PARITY)
-            token, of = batch.column("token")[0].as_py(), [set(x) for x in batch.column("tokens").to_pylist()]
             a, b = [], []
             for x in np.flatnonzero(block == i):
                 ok = (block == j) & (label != label[x]) & (rep > rep[x] if i == j else True)
@@ -220,85 +249,83 @@ class Join:
                 y = np.flatnonzero(ok)
                 apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
                 y = y[apart <= n[y] + n[x] - 2 * -(-(n[y] + n[x]) * percent // (100 + percent))]
-                y = np.array([k for k in y if min(of[x] & of[k]) == token], int)
                 a += [int(rep[x])] * len(y)
                 b += rep[y].tolist()
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         counts = self.stage.keep(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-        parity = self.classes.select("rep", "parity").join(rows.groupBy("rep").agg(F.collect_set("token").alias("tokens")).hint("merge"), "rep")
+        parity = self.classes.select("rep", "parity")
         rows = rows.join(counts.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity.hint("merge"), "rep")
         rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("token", "tokens", "rep", "n", "label", "parity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        rows = rows.select("token", "rep", "n", "label", "parity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         found = rows.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked."""
+        """The pairs that are linked, written."""
         side = lambda name: self.classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}"))
         apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         n = F.col("n_a") + F.col("n_b")
         close = (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (apart <= n - 2 * needed(F.col("n_a"), F.col("n_b"), self.percent))
-        likely = self.stage.keep(pairs.distinct().join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(close).select("a", "b"))
-        # Sides that turn up often become the roots, so that their sets travel once for many partners.
-        trees = self.stage.keep(likely.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees")))
+        likely = self._spare(pairs.distinct().join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").filter(close).select("a", "b", "n_b"))
+        # Sides that turn up often become the roots, so that their texts travel once for many partners.
+        sizes = F.greatest(F.ceil(F.count("*") / TREE), F.ceil(F.sum("n_b") / TREE_GRAMS))
+        trees = self._spare(likely.groupBy("a").agg(sizes.alias("trees")))
         rooted = likely.join(trees.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).alias("tree"))
         wanted = rooted.select("a", "tree", F.col("b").alias("rep")).unionByName(rooted.select("a", "tree", F.col("a").alias("rep")).distinct())
-        ids = self.classes.select("rep", "did", "key").join(wanted.hint("merge"), "rep", "left_semi")
-        # Rows that repeat an id and a text give a set twice, which the tree takes as one.
-        sets = self.docs.select("did", "key", "text").join(ids.hint("merge"), ["did", "key"]).mapInArrow(self._sets(), "rep long, grams array<long>")
-        return wanted.join(sets.hint("merge"), "rep").groupBy("a", "tree").applyInArrow(self._trees(), "a long, b long")
-
-    def _sets(self):
-        size, order = self.size, self.order
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in small(batches, "text"):
-                t, at = ordered_sets(encoded(b.column("text")), size, order.value)
-                yield pa.RecordBatch.from_arrays([b.column("rep"), _lists(t, at)], ["rep", "grams"])
-
-        return sets
+        ids = self._spare(self.classes.select("rep", "did", "key").join(wanted.hint("merge"), "rep", "left_semi"))
+        # Texts travel, not sets, which are larger.  Rows that repeat an id and a text give a text twice, which the tree takes as one.
+        texts = self.docs.select("did", "key", "text").join(ids.hint("merge"), ["did", "key"]).select("rep", "text")
+        return self.freed(wanted.join(texts.hint("merge"), "rep").groupBy("a", "tree").applyInArrow(self._trees(), "a long, b long"))
 
     def _trees(self):
-        percent = self.percent
+        size, order, percent = self.size, self.order, self.percent
 
         def trees(rows: pa.Table) -> pa.Table:
-            root = rows.column("a")[0].as_py()
-            reps = rows.column("rep").to_pylist()
-            sets = [x.values.to_numpy().view(np.uint64) for x in rows.column("grams")]
-            of = dict(zip(reps, sets, strict=True))
+            root, of = rows.column("a")[0].as_py(), {}
+            for batch in small(iter(rows.to_batches()), "text"):
+                t, at = ordered_sets(encoded(batch.column("text")), size, order.value)
+                of.update(zip(batch.column("rep").to_pylist(), np.split(t, at[1:-1]), strict=True))
             own = of.pop(root)
-            found = walk(own, sorted(of.items(), key=lambda x: x[1].tolist()), percent)
+            found = walk(own, sorted(of.items(), key=lambda x: x[1].astype(">u8").tobytes()), percent)
             return pa.table({"a": pa.array([root] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
         return trees
 
 
 def walk(own: np.ndarray, sets: list[tuple[int, np.ndarray]], percent: int, stride: int = 64) -> list[int]:
-    """Ids of the sets that are linked with own.  sets: id and ordered set, sorted by set, so that they are the paths of a
-    prefix tree from left to right; shared[d] is the overlap with own of the current path's first d n-grams."""
-    found = []
-    path, shared, known = np.empty(0, np.uint64), np.zeros(1, np.int64), 0
-    for name, s in sets:
-        m = min(known, len(path), len(s))
-        differ = np.flatnonzero(path[:m] != s[:m])
-        depth = int(differ[0]) if len(differ) else m
-        shared = np.concatenate([shared[:depth + 1], np.zeros(len(s) - depth, np.int64)])
-        path, least = s, -(-(len(own) + len(s)) * percent // (100 + percent))
+    """Ids of the sets that are linked with own.  sets: id and ordered set, distinct and in order, so that the sets below a node of
+    their prefix tree stand together: a node is a stretch of them, and their common path ends where the first and the last part."""
+    found, lengths = [], np.array([len(s) for _, s in sets], np.int64)
+    todo = [(0, len(sets), 0, 0)] if sets else []  # nodes: first set, end, depth, overlap with own down to there
+    while todo:
+        a, z, depth, shared = todo.pop()
+        shortest, longest, path = int(lengths[a:z].min()), int(lengths[a:z].max()), sets[a][1]
+        least = -(-(len(own) + shortest) * percent // (100 + percent))
+        end = len(path)
+        if z - a > 1:
+            m = min(end, len(sets[z - 1][1]))
+            differ = np.flatnonzero(path[depth:m] != sets[z - 1][1][depth:m])
+            end = depth + int(differ[0]) if len(differ) else m
         while True:
             # n-grams of own that come before the path's last one can no longer be met.
-            passed = int(np.searchsorted(own, s[depth - 1], "right")) if depth else 0
-            if shared[depth] + min(len(s) - depth, len(own) - passed) < least:
-                break
-            if depth == len(s):
-                found.append(name)
+            passed = int(np.searchsorted(own, path[depth - 1], "right")) if depth else 0
+            cut = shared + min(longest - depth, len(own) - passed) < least
+            if cut or depth == end:
                 break
-            to = min(len(s), depth + stride)
-            place = np.searchsorted(own, s[depth:to])
-            met = own[np.minimum(place, len(own) - 1)] == s[depth:to]
-            shared[depth + 1:to + 1] = shared[depth] + np.cumsum(met)
-            depth = to
-        known = depth
+            part = path[depth:min(end, depth + stride)]
+            shared += int((own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part).sum())
+            depth += len(part)
+        if cut:
+            continue
+        if lengths[a] == end:  # a set that ends at this node
+            if shared >= -(-(len(own) + end) * percent // (100 + percent)):
+                found.append(sets[a][0])
+            a += 1
+        if a < z:
+            branch = np.array([s[end] for _, s in sets[a:z]], np.uint64)
+            edges = a + np.concatenate([[0], np.flatnonzero(branch[1:] != branch[:-1]) + 1, [z - a]])
+            todo += [(int(x), int(y), end, shared) for x, y in zip(edges[:-1], edges[1:], strict=True)]
     return found
 
 
@@ -318,11 +345,12 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     join = Join(docs, classes, order, size, percent, stage)
     groups = join.groups()
     large = groups.filter(F.col("k") > SMALL)
-    links = stage.keep(join.links(join.small_pairs(groups).unionByName(join.star_pairs(large))))
+    links = join.links(join.small_pairs(groups.filter(F.col("k") <= SMALL)).unionByName(join.star_pairs(large)))
     labels = components(links, stage)
     left = join.unresolved(large, labels)
+    stage.drop(groups)
     if not left.isEmpty():
-        labels = components(links.unionByName(join.links(join.block_pairs(left))), stage)
+        labels = components(links.unionByName(join.links(join.descend(left))), stage)
     named = same.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "first", F.coalesce("label", "rep").alias("label"))
     least = stage.keep(named.groupBy("label").agg(F.min("first").alias("component")))
     named = named.join(least.hint("merge"), "label").select("s1", "s2", "n", "label", "component")

@@ -176,23 +176,40 @@ def test_ngram_join_brute(spark, size, percent):
     assert got == brute_components(rows, size, percent)
 
 
-def test_ngram_join_blocks(spark, monkeypatch):
-    """Without pivots' luck: one pivot and tiny blocks must find the same links."""
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_ngram_join_branches_and_blocks(spark, monkeypatch, levels):
+    """Without pivots' luck: one pivot, tiny nodes and blocks, and any number of branches must find the same links."""
     rng = random.Random(9)
-    base = prose(rng, 60).split()
+    base, other = prose(rng, 60).split(), prose(rng, 30).split()
     rows = []
     for k in range(50):
-        w = list(base)
+        w = list(base) if k % 3 else base[:30] + other
         for j in range(k % 5):
             w[(7 * k + 11 * j) % 60] = f"n{k}-{j}"
         rows.append((k, " ".join(w)))
     monkeypatch.setattr(ngram_join, "PIVOTS", 1)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "LEVELS", levels)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
     assert got == brute_components(rows, 4, 85)
 
 
+def test_ngram_join_hot_ngram(spark):
+    """5,000 unlike texts that share one rare passage, near copies among them."""
+    rng = random.Random(15)
+    texts = []
+    for k in range(5000):
+        w = [f"u{rng.randrange(10**6)}" for _ in range(30)] if k % 10 else prose(rng, 30, [f"c{j}" for j in range(50)]).split()
+        texts.append(w[:12] + "one passage that all share".split() + w[12:])
+        if k % 100 == 0:
+            texts.append([*texts[-1], "more"])
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()}
+    assert got == {k: k - 1 if len(w) == 36 else k for k, w in enumerate(texts)}
+
+
 def test_ngram_join_odd(spark, odd):
     got = listed(ngram_join.ngram_components(odd, 4, 85).select("doc_id", "n_shingles", "component_id"))
     by = defaultdict(list)
@@ -229,6 +246,7 @@ def test_walk_shares_and_prunes():
     for k in range(60):
         s = set(own.tolist()) - set(rng.sample(own.tolist(), rng.randint(0, 40))) | set(rng.sample(range(1000), rng.randint(0, 40)))
         sets.append((k, np.array(sorted(s), np.uint64)))
+    sets += [(60, own[:180]), (61, own[:190]), (62, own), (63, own[:0]), (64, own[:100])]
     sets.sort(key=lambda x: x[1].tolist())
     want = sorted(k for k, s in sets if 100 * len(np.intersect1d(s, own)) >= 85 * len(np.union1d(s, own)))
     for stride in (1, 7, 64):
