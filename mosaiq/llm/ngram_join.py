@@ -47,7 +47,7 @@ LEVELS = 2
 #: Partners of a pivot in one prefix tree, and their n-grams.
 TREE = 128
 TREE_GRAMS = 1_000_000
-PARITY = 16  # words of 64 bits
+PARITY = 8  # words of 64 bits
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +161,11 @@ class Join:
         self.spares.append(self.stage.keep(df))
         return self.spares[-1]
 
-    def freed(self, df: DataFrame) -> DataFrame:
-        """df, written; the tables that it was made from are deleted."""
+    def freed(self, df: DataFrame, since: int = 0) -> DataFrame:
+        """df, written; the tables that it was made from, those after the first `since`, are deleted."""
         out = self.stage.keep(df)
-        self.stage.drop(*self.spares)
-        self.spares.clear()
+        self.stage.drop(*self.spares[since:])
+        del self.spares[since:]
         return out
 
     def groups(self) -> DataFrame:
@@ -208,6 +208,7 @@ class Join:
 
     def split(self, rows: DataFrame, shared: int) -> DataFrame:
         """The branches of nodes(token, rep, n, pos, label) with `shared` common n-grams: rows of the same kind, with k."""
+        since = len(self.spares)
         bounds = self._spare(rows.groupBy("token").agg(F.min("n").alias("shortest")))
         least = F.greatest("shortest", F.ceil(F.col("n") * self.percent / 100 - 1e-9))  # of the partners that may be there
         last = F.least(F.size("prefix"), (F.col("n") + shared - needed(F.col("n"), least, self.percent) + 1).cast("int"))
@@ -220,7 +221,7 @@ class Join:
         first = self._spare(live.groupBy("node", "rep").agg(F.min(F.struct("pos", "token"))["token"].alias("first")))
         # If all of a branch share an earlier one, their pairs are found there.
         kept = live.join(first.hint("merge"), ["node", "rep"]).groupBy("token").agg(F.min("first").alias("x"), F.max("first").alias("y")).filter("x <> y OR x = token").select("token")
-        return self.freed(live.join(self._spare(kept).hint("merge"), "token", "left_semi").select("token", "rep", "n", "pos", "k", "label"))
+        return self.freed(live.join(self._spare(kept).hint("merge"), "token", "left_semi").select("token", "rep", "n", "pos", "k", "label"), since)
 
     def descend(self, rows: DataFrame) -> DataFrame:
         """Pairs of all classes in unresolved nodes that are in different components and that the bounds and the sketch allow."""
@@ -230,12 +231,12 @@ class Join:
             if large.isEmpty():
                 return out
             rows = self.split(large, shared)
-            out = out.unionByName(self.small_pairs(rows.filter(F.col("k") <= SMALL), shared + 1)).unionByName(self.block_pairs(rows.filter((F.col("k") > SMALL) & (F.col("k") <= BLOCK))))
+            out = out.unionByName(self.small_pairs(rows.filter(F.col("k") <= SMALL), shared + 1)).unionByName(self.block_pairs(rows.filter((F.col("k") > SMALL) & (F.col("k") <= BLOCK)), shared + 1))
             large = rows.filter(F.col("k") > BLOCK)
-        return out.unionByName(self.block_pairs(large))
+        return out.unionByName(self.block_pairs(large, LEVELS + 1))
 
-    def block_pairs(self, rows: DataFrame) -> DataFrame:
-        """All pairs of classes of a node that are in different components and pass the sketch, by pairs of blocks."""
+    def block_pairs(self, rows: DataFrame, shared: int = 1) -> DataFrame:
+        """All pairs of classes of a node with `shared` common n-grams that are in different components and pass the sketch, by pairs of blocks."""
         percent = self.percent
 
         def pairs(batch: pa.Table) -> pa.Table:
@@ -253,9 +254,11 @@ class Join:
                 b += rep[y].tolist()
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        counts = self.stage.keep(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+        counts = self._spare(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("n").alias("shortest")))
         parity = self.classes.select("rep", "parity")
-        rows = rows.join(counts.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity.hint("merge"), "rep")
+        # What remains after a row's last common n-gram must do for the shortest partner that its node holds.
+        least = needed(F.col("n"), F.greatest("shortest", F.ceil(F.col("n") * percent / 100 - 1e-9)), percent)
+        rows = rows.join(counts.hint("merge"), "token").filter(F.col("n") - F.col("pos") + (shared - 1) >= least).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity.hint("merge"), "rep")
         rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         rows = rows.select("token", "rep", "n", "label", "parity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         found = rows.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long")
