@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\f\r"
 #: Java regex of one word between white space, `[^\x20\x09-\x0D]+`.
@@ -77,6 +79,53 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def in_tree(parts: DataFrame, merge, width: int = 8) -> list:
+    """The rows that are left of parts when tasks have merged them, `width` partitions at a time: one, or none.  merge takes and gives Arrow batches."""
+    n = parts.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // width)
+        parts = parts.repartition(n).mapInArrow(merge, parts.schema)
+    return parts.collect()
+
+
+SIEVE = 1 << 25
+
+
+def sieve(hashes: DataFrame):
+    """A test of hash columns that is true for every value of hashes(h: long) and for few others.
+
+    A Bloom filter of fixed size (4 MB, two bits a value), built in tasks and broadcast: it goes before a join that shuffles whole
+    texts of which few are wanted.  The join decides; with very many values the filter lets more and more through."""
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        h = mix(h.view(np.uint64))
+        return [(h & np.uint64(SIEVE - 1)).astype(np.int64), (h >> np.uint64(39)).astype(np.int64)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE, bool)
+        for b in batches:
+            for at in places(b.column("h").to_numpy(zero_copy_only=False)):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE // 8, np.uint8)
+        for b in batches:
+            for x in b.column("bits"):
+                bits |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    rows = in_tree(hashes.select("h").mapInArrow(mark, "bits binary"), either)
+    held = hashes.sparkSession.sparkContext.broadcast(bytes(rows[0].bits) if rows else bytes(SIEVE // 8))
+
+    @F.pandas_udf("boolean")
+    def passes(h: pd.Series) -> pd.Series:
+        bits = np.frombuffer(held.value, np.uint8)
+        a, b = places(h.to_numpy(np.int64))
+        return pd.Series((bits[a >> 3] >> (7 - (a & 7)) & bits[b >> 3] >> (7 - (b & 7)) & 1) > 0)
+
+    return passes
+
+
 # ---- Arrow batches ---------------------------------------------------------------------------
 
 def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

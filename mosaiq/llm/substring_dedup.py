@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Stage, encoded, mix, ngrams, small, span_hashes, table, words
+from mosaiq.llm.common import Stage, encoded, mix, ngrams, sieve, small, span_hashes, table, words
 
 LAST = 2**63 - 1
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -176,6 +176,9 @@ def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False, first:
         # Written first: a join right on top of its own aggregation could not be split where one hash has very many rows.
         repeated = stage.keep(halves.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h"))
         alive = stage.keep(halves.join(repeated, "h", "left_semi").groupBy("did", "key").agg(F.collect_set("h").alias("halves")))
+        if not k:  # most texts have nothing left, so they are not shuffled
+            passes = sieve(alive.select(F.xxhash64("did", "key").alias("h")))
+            texts_left = texts_left.filter(passes(F.xxhash64("did", "key")))
         before, survivors = survivors, stage.keep(texts_left.join(alive, ["did", "key"]))
         stage.drop(repeated, alive, *([before, standing] if k else []))
         if survivors.isEmpty():

@@ -58,6 +58,13 @@ def test_hashing_and_words():
     assert len(common.ngrams(big[:3], 7)) == 0
 
 
+def test_sieve(spark):
+    held = spark.range(0, 3000, 3, numPartitions=9).select(F.xxhash64("id").alias("h"))
+    got = [r.id for r in spark.range(20_000).filter(common.sieve(held)(F.xxhash64("id"))).collect()]
+    assert set(range(0, 3000, 3)) <= set(got) and len(got) <= 1010
+    assert spark.range(50).filter(common.sieve(held.limit(0))(F.xxhash64("id"))).count() == 0
+
+
 def test_url_filter(spark):
     urls = spark.createDataFrame([(1, "https://A.Example.NET/en/x?q", 1), (1, "https://A.Example.NET/en/x?q", 2), (2, None, 1), (3, "net/", 1), (4, "http://net", 1), (5, "http://net/", 1), (6, "x://" + "a." * 5000 + "net/" + "p" * 9000, 1), (7, "http://notnet/", 1), (8, "http://x.org/fr/", 1)],
                                  "page_id long, url string, short int")
