@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Stage, encoded, mix, ngrams, pair, small, span_hashes, table, words
+from mosaiq.llm.common import Stage, encoded, in_tree, mix, ngrams, pair, sieve, small, span_hashes, table, words
 from mosaiq.llm.components import components
 
 LAST = 2**63 - 1
@@ -92,12 +92,7 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
                 n += np.frombuffer(x, np.int32 if len(x) == 4 * BUCKETS else np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
 
-    sums = docs.select("text").mapInArrow(count, "n binary")
-    parts = sums.rdd.getNumPartitions()
-    while parts > 1:
-        parts = -(-parts // 8)
-        sums = sums.repartition(parts).mapInArrow(add, "n binary")
-    rows = sums.collect()
+    rows = in_tree(docs.select("text").mapInArrow(count, "n binary"), add)
     n = sum((np.frombuffer(r.n, np.int32 if len(r.n) == 4 * BUCKETS else np.int64).astype(float) for r in rows), np.zeros(BUCKETS))
     return np.clip(np.round(4 * np.log2((n + 1) / (n.mean() + 1))) + 20, 0, 63).astype(np.uint8)
 
@@ -278,7 +273,8 @@ class Join:
         wanted = rooted.select("a", "tree", F.col("b").alias("rep")).unionByName(rooted.select("a", "tree", F.col("a").alias("rep")).distinct())
         ids = self._spare(self.classes.select("rep", "did", "key").join(wanted.hint("merge"), "rep", "left_semi"))
         # Texts travel, not sets, which are larger.  Rows that repeat an id and a text give a text twice, which the tree takes as one.
-        texts = self.docs.select("did", "key", "text").join(ids.hint("merge"), ["did", "key"]).select("rep", "text")
+        passes = sieve(ids.select(F.xxhash64("did", "key").alias("h")))
+        texts = self.docs.select("did", "key", "text").filter(passes(F.xxhash64("did", "key"))).join(ids.hint("merge"), ["did", "key"]).select("rep", "text")
         return self.freed(wanted.join(texts.hint("merge"), "rep").groupBy("a", "tree").applyInArrow(self._trees(), "a long, b long"))
 
     def _trees(self):
