@@ -208,7 +208,7 @@ class Join:
         least = F.greatest("shortest", F.ceil(F.col("n") * self.percent / 100 - 1e-9))  # of the partners that may be there
         last = F.least(F.size("prefix"), (F.col("n") + shared - needed(F.col("n"), least, self.percent) + 1).cast("int"))
         each = (rows.select("token", "rep", "n", "pos", "label").join(bounds.hint("merge"), "token")
-                .join(self.classes.select("rep", "prefix").hint("merge"), "rep")
+                .join(self.near.select("rep", "prefix").hint("merge"), "rep")
                 .select("token", "rep", "n", "label", "pos", F.posexplode(F.slice("prefix", F.lit(1), F.greatest(F.lit(0), last))).alias("at", "gram")).filter("at > pos")
                 .select(F.xxhash64("token", "gram").alias("token"), F.col("token").alias("node"), "rep", "n", "label", F.col("at").alias("pos")))
         counts = self._spare(each.groupBy("token").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter("k > 1 AND x < y").select("token", "k"))
@@ -220,6 +220,10 @@ class Join:
 
     def descend(self, rows: DataFrame) -> DataFrame:
         """Pairs of all classes in unresolved nodes that are in different components and that the bounds and the sketch allow."""
+        # Of all classes those in open nodes are few: they are fetched once.
+        passes = sieve(rows.select(F.xxhash64("rep").alias("h")))
+        near = self.classes.select("rep", "prefix", "parity").filter(passes(F.xxhash64("rep")))
+        self.near = self._spare(near.join(rows.select("rep").hint("merge"), "rep", "left_semi"))
         out = self.block_pairs(rows.filter(F.col("k") <= BLOCK))
         large = rows.filter(F.col("k") > BLOCK)
         for shared in range(1, LEVELS + 1):
@@ -250,7 +254,7 @@ class Join:
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         counts = self._spare(rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("n").alias("shortest")))
-        parity = self.classes.select("rep", "parity")
+        parity = self.near.select("rep", "parity")
         # What remains after a row's last common n-gram must do for the shortest partner that its node holds.
         least = needed(F.col("n"), F.greatest("shortest", F.ceil(F.col("n") * percent / 100 - 1e-9)), percent)
         rows = rows.join(counts.hint("merge"), "token").filter(F.col("n") - F.col("pos") + (shared - 1) >= least).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(parity.hint("merge"), "rep")
