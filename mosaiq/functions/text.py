@@ -7,7 +7,7 @@ import re
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,6 +157,14 @@ def language_base(code: Column) -> Column:
     return F.element_at(F.split(F.lower(code), "[-_]"), 1)
 
 
-def language_name(code: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.lower(code)), prettify(code))
+def platform_languages(spark: SparkSession) -> dict[str, str]:
+    """English names of the two-letter codes, as the Java platform has them."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    return {code: locale.forLanguageTag(code).getDisplayLanguage(locale.ENGLISH) for code in locale.getISOLanguages()}
+
+
+def language_name(code: Column, more: Mapping[str, str] | None = None) -> Column:
+    """A language as shown: by its code, else by its base's name in more (such as platform_languages), else the code prettified."""
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    known = F.try_element_at(table(LANGUAGES), F.lower(code))
+    return F.coalesce(known, *([F.try_element_at(table(more), language_base(code))] if more else []), prettify(code))

@@ -48,8 +48,10 @@ def dependency_violations(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.countDistinct(value).alias("n_values")).filter("n_values > 1")
 
 
-def sanitised(answers: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
-    """answers with only known ids left in the array column.  The vocabulary is one row once gathered: it is a fixed list."""
+def sanitised(answers: DataFrame, column: str, vocabulary: DataFrame, most: int = 100_000) -> DataFrame:
+    """answers with only known ids left in the array column.  The vocabulary is a fixed list, checked to have `most` rows at most, and one row once gathered."""
+    if vocabulary.limit(most + 1).count() > most:
+        raise ValueError(f"a vocabulary of more than {most} entries")
     known = vocabulary.agg(F.collect_set("id").alias("_known"))
     return answers.join(F.broadcast(known)).withColumn(column, F.array_intersect(column, "_known")).drop("_known")
 

@@ -62,17 +62,19 @@ def tier(score: Column, bounds: list[float]) -> Column:
     return sum((F.when(score < b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
-def cards_that_differ(pool: DataFrame, k: int, most: int = 200) -> list[str]:
-    """Ids of k cards, each the one least like those before it; the first is the first by id.
-
-    The choice is sequential, so the pool is bounded (its `most` first ids): its scores are one distributed job
-    of most * most pairs, and only those numbers come to the driver."""
-    cards = pool.orderBy("id").limit(most)
-    a, b = cards.select(F.struct(*pool.columns).alias("a")), cards.select(F.struct(*pool.columns).alias("b"))
-    pairs = a.join(F.broadcast(b), F.col("a.id") != F.col("b.id")).select("a.id", F.col("b.id").alias("other"), similarity("a", "b").alias("score")).collect()
-    ids = sorted({r.id for r in pairs}) or [r.id for r in cards.select("id").collect()]
-    score = {(r.id, r.other): r.score for r in pairs}
-    chosen = ids[:1]
-    while len(chosen) < min(k, len(ids)):
-        chosen.append(min((i for i in ids if i not in chosen), key=lambda i: (max(score[i, c] for c in chosen), i)))
-    return chosen
+def cards_that_differ(pool: DataFrame, k: int) -> list:
+    """Ids of k cards, each the one least like those before it; the first is the first by id, as is the first of equals.
+
+    The choice is sequential: k rounds over the whole pool, each with the fewer than k chosen cards broadcast and one id
+    returned to the driver.  Rows without an id are not chosen."""
+    cards = pool.filter("id IS NOT NULL")
+    chosen = [r[0] for r in cards.agg(F.min("id")).collect() if r[0] is not None]
+    while chosen and len(chosen) < k:
+        a = cards.filter(~F.col("id").isin(chosen)).select(F.col("id"), F.struct(*pool.columns).alias("a"))
+        b = cards.filter(F.col("id").isin(chosen)).dropDuplicates(["id"]).select(F.struct(*pool.columns).alias("b"))
+        most_alike = a.join(F.broadcast(b)).groupBy("id").agg(F.max(similarity("a", "b")).alias("score"))
+        best = most_alike.agg(F.min_by("id", F.struct("score", "id")).alias("id")).first().id
+        if best is None:
+            break
+        chosen.append(best)
+    return chosen[:k]

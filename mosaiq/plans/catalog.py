@@ -1,6 +1,7 @@
 """All queries over the given tables, and their DuckDB counterparts.
 
-Each query applies library operators to whole tables.  Doubles are rounded and lists joined to texts, so that
+Each query applies library operators to whole tables, or, where an operator is a single Spark function, that function.
+The queries with a liked side take the customers up to id 5 as one person's picks.  Doubles are rounded and lists joined to texts, so that
 both engines' results can be compared by value.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import dates, text, urls
 from mosaiq.operators import browse, merge, places, recommend, similarity, suppress
+from mosaiq.sources import listings
+from mosaiq.sources.leads import as_leads, with_note
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,3 +286,204 @@ def top_orders_per_customer(spark, sf_dir):
 def lineitem_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS ein, 'o:' || o_orderkey AS lead_id, o_orderstatus AS source, o_orderpriority AS place FROM orders),
+w AS (SELECT *, coalesce('k:' || ein, 'l:' || lead_id) AS who, row_number() OVER (PARTITION BY who ORDER BY source, lead_id) AS pos FROM l),
+p AS (SELECT who, place, min(pos) AS pos FROM w GROUP BY ALL),
+a AS (SELECT who, any_value(ein) AS ein, string_agg(lead_id, ',' ORDER BY lead_id) AS leads, string_agg(lead_id, ',' ORDER BY pos) AS sources FROM w GROUP BY who)
+SELECT ein, leads, (SELECT string_agg(place, ',' ORDER BY pos) FROM p WHERE p.who = a.who) AS places, sources FROM a""")
+def consolidate_records(spark, sf_dir):
+    lead = F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))
+    leads = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("ein"), lead.alias("lead_id"), F.col("o_orderstatus").alias("source"),
+        F.array(F.struct(F.col("o_orderpriority").alias("label"))).alias("locations"), F.struct(lead.alias("url"), F.array(F.lit("name")).alias("fields")).alias("provenance"))
+    out = merge.consolidate(leads)
+    return out.select("ein", *[F.array_join(c, ",").alias(n) for n, c in (("leads", F.col("leads")), ("places", F.col("locations.label")), ("sources", F.col("sources.url")))])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_name || ' & ' || c_mktsegment END AS about,
+CASE WHEN c_custkey % 4 <> 0 THEN length('<h2>News</h2>') + length('<h2 class="t"> About</h2>') ELSE 0 END AS pos FROM customer""")
+def section_of_card(spark, sf_dir):
+    head = F.when(F.col("c_custkey") % 4 != 0, F.lit('<h2 class="t"> About</h2>')).otherwise(F.lit("<h2>Else</h2>"))
+    html = F.concat(F.lit("<h2>News</h2>"), head, F.lit("<p>"), "c_name", F.lit("</p>&amp; <i>"), "c_mktsegment", F.lit("</i>"), F.lit("<h2>Where</h2>Away"))
+    found = text.section_text(html, "About")
+    return table(spark, sf_dir, "customer").select("c_custkey", found["text"].alias("about"), found["pos"].alias("pos"))
+
+
+@query("""SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'Nation ' || s_nationkey END AS place, s_name || '|Nation ' || s_nationkey AS needs FROM supplier""")
+def info_rows_of_card(spark, sf_dir):
+    row = lambda css, x: F.concat(F.lit(f'<tr class="{css}"><td>Label</td><td class="text"> '), x, F.lit("</td></tr>"))
+    place = F.concat(F.lit("Nation <b>"), F.col("s_nationkey").cast("string"), F.lit("</b>"))
+    there = F.when(F.col("s_suppkey") % 3 != 0, row("place", place)).otherwise("")
+    html = F.concat(F.lit("<table>"), row("name", F.col("s_name")), there, row("need", F.col("s_name")), row("need", F.lit("")), row("need", place), F.lit("</table>"))
+    info = text.info_rows(html, ["name", "place"])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", info["name"].alias("name"), info["place"].alias("place"), F.array_join(text.row_texts(html, "need"), "|").alias("needs"))
+
+
+_DISTRICTS = sorted(places.DISTRICT_REGION)
+
+
+@query(f"""SELECT coalesce((SELECT l FROM (VALUES {', '.join(f"('{d}', '{places.REGIONS[places.DISTRICT_REGION[d]]}')" for d in _DISTRICTS)}) v(d, l)
+WHERE d = {_DISTRICTS}[c_nationkey + 1]), 'Other') AS region, count(*) AS n FROM customer GROUP BY ALL""")
+def district_rollup(spark, sf_dir):
+    known = F.array(*[F.lit(d.replace("-", "_")) for d in _DISTRICTS])
+    rows = table(spark, sf_dir, "customer").select(F.get(known, F.col("c_nationkey").cast("int")).alias("district"))
+    return rows.groupBy(places.region_label(places.region_of(F.col("district"))).alias("region")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_acctbal >= -500 AND c_mktsegment <> 'FURNITURE'
+AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""")
+def blocklist_all_kinds(spark, sf_dir):
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    site = F.concat(F.lit("https://WWW."), "c_mktsegment", F.lit(".org/about"))
+    groups = c.select(key.alias("id"), F.array(F.lit("x"), F.col("c_nationkey").cast("string")).alias("leads"), key.alias("ein"), F.struct(site.alias("website")).alias("contacts"))
+    leads = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("lead"))
+    eins = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("ein"))
+    domains = spark.createDataFrame([("furniture.org",)], "domain string")
+    return suppress.apply_blocklist(groups, c.filter("c_acctbal < -500").select(key.alias("id")), leads, eins, domains).select("id")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS address, CAST(c_nationkey AS VARCHAR) AS zip, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 1.5 END AS lat FROM customer""")
+def zip_only_places(spark, sf_dir):
+    label = F.when(F.col("c_custkey") % 2 == 0, F.lit(places.MAILING[1])).otherwise("Meets")
+    one = F.struct(label.alias("label"), F.col("c_name").alias("address"), F.lit("n").alias("neighborhood"), F.col("c_nationkey").cast("string").alias("zip"), F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", places.publish_zip_only(F.array(one)).alias("l"))
+    return rows.select("c_custkey", *[F.get("l", 0)[k].alias(k) for k in ("address", "zip", "lat")])
+
+
+@query("""SELECT c_custkey, coalesce(n_name, r_name) AS planning_district FROM customer
+LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON c_custkey % 7 = r_regionkey""")
+def districts_from_zip(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("neighborhood"), (F.col("c_custkey") % 7).alias("zip"))
+    hoods = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("district"))
+    zips = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("zip"), F.col("r_name").alias("district"))
+    return places.districts_by_zip(rows, zips, hoods).select("c_custkey", "planning_district")
+
+
+@query("""SELECT c_custkey, CASE WHEN n_regionkey <> 2 THEN 'n' || c_nationkey ELSE '' END AS picks, n_regionkey <> 2 AS known FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def sanitised_answers(spark, sf_dir):
+    vocabulary = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    place = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.col("c_mktsegment"), place).alias("picks"), place.alias("place"))
+    out = browse.is_known(browse.sanitised(rows, "picks", vocabulary), "place", vocabulary, "known")
+    return out.select("c_custkey", F.array_join("picks", ",").alias("picks"), "known")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'old' WHEN c_acctbal < 0 THEN 'debt' END AS hidden_reason FROM customer WHERE c_custkey % 5 = 0 OR c_acctbal < 0""")
+def hidden_with_reason(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    before = F.col("c_custkey") % 5 == 0
+    groups = c.select(F.col("c_custkey").alias("id"), F.when(before, F.lit(True)).alias("hidden"), F.when(before, F.lit("old")).alias("hidden_reason"))
+    reasons = c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit("debt").alias("reason"))
+    out = suppress.hide(groups, reasons)
+    return out.join(browse.browsable(out).select("id"), "id", "left_anti").select("id", "hidden_reason")
+
+
+@query("""SELECT 'customers:' || c_custkey AS lead_id, c_name AS name, 'person' AS kind_hint, c_mktsegment AS tags, 0 AS n_extra FROM customer
+UNION ALL SELECT 'suppliers:' || s_suppkey, s_name, NULL, '', CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END FROM supplier""")
+def leads_of_two_sources(spark, sf_dir):
+    a = as_leads(table(spark, sf_dir, "customer"), "customers", native_id=F.col("c_custkey"), name=F.col("c_name"), kind_hint=F.lit("person"), tags_hint=F.array("c_mktsegment"))
+    note = with_note(F.lit(None).cast("map<string, string>"), F.when(F.col("s_acctbal") < 0, F.lit("in debt")))
+    b = as_leads(table(spark, sf_dir, "supplier"), "suppliers", native_id=F.col("s_suppkey"), name=F.col("s_name"), extra=note)
+    return a.unionByName(b).select("lead_id", "name", "kind_hint", F.array_join("tags_hint", ",").alias("tags"), F.size("extra").alias("n_extra"))
+
+
+@query("""SELECT c_custkey, 'https://example.org/issues/new?template=remove-details.yml&title=Removal%3A+' || replace(c_name, '#', '%23') || '&group=' || replace(c_name, '#', '%23') || '+%28g%2F' || c_custkey || '%2F%29' AS remove FROM customer""")
+def form_links_of_group(spark, sf_dir):
+    links = urls.group_form_links(F.col("c_name"), urls.group_path(F.col("c_custkey").cast("string")), "https://example.org")
+    return table(spark, sf_dir, "customer").select("c_custkey", links["remove"].alias("remove"))
+
+
+@query("""SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' WHEN 'fr' THEN 'French' ELSE upper(lang[1]) || lang[2:] END AS language, lang AS base, count(*) AS n FROM documents GROUP BY ALL""")
+def language_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    base = text.language_base(F.concat("lang", F.lit("-XX")))
+    return rows.select(text.language_name(F.col("lang"), text.platform_languages(spark)).alias("language"), base.alias("base"), "n")
+
+
+@query("""SELECT n_name AS label, n_nationkey AS sort_ord, CASE count(c_custkey) WHEN 0 THEN 'No groups yet' WHEN 1 THEN '1 group' ELSE count(c_custkey) || ' groups' END AS line
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY ALL""")
+def ordered_count_lines(spark, sf_dir):
+    vocabulary = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("sort_ord"))
+    out = browse.counts_with_vocabulary(table(spark, sf_dir, "customer").filter("c_acctbal > 9000"), F.array(F.col("c_nationkey").cast("string")), vocabulary)
+    return out.select("label", "sort_ord", text.count_text(F.col("n")).alias("line"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate < DATE '1995-06-01'")
+def plans_due(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").filter(dates.due(day, F.lit("1995-06-01").cast("date"))).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT n_name AS id, '- **' || n_name || '**' || CASE WHEN n_nationkey % 2 = 0 THEN ' (support groups only)' ELSE '' END || ': n' || n_nationkey || ', r' || n_regionkey AS line, n_nationkey % 2 <> 0 AS shown FROM nation""")
+def family_lines(spark, sf_dir):
+    tags = F.array(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    families = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(True)).alias("support_only"), tags.alias("tags"))
+    return browse.is_known(browse.cheat_sheet(families), "id", browse.browsable_families(families), "shown")
+
+
+@query("""SELECT (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS n_groups, (SELECT count(*) FROM nation) AS n_places,
+(SELECT string_agg(r_name, ',' ORDER BY r_regionkey DESC) FROM region WHERE r_regionkey <> 1) AS families, 'v1' AS version""")
+def browse_page_config(spark, sf_dir):
+    groups = table(spark, sf_dir, "customer").select((F.col("c_acctbal") < 0).alias("hidden"))
+    hoods = table(spark, sf_dir, "nation").select(F.lit("neighborhoods").alias("vocabulary"), F.lit("all").alias("list"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), F.lit(False).alias("support_only"), F.lit(0).alias("sort_ord"))
+    families = table(spark, sf_dir, "region").select(F.lit("interests"), F.lit("families"), F.col("r_name"), F.col("r_name"), F.col("r_regionkey") == 1, -F.col("r_regionkey").cast("int"))
+    out = browse.browse_config(groups, hoods.union(families), "v1")
+    return out.select("n_groups", F.size("places").cast("long").alias("n_places"), F.array_join("families", ",").alias("families"), "version")
+
+
+@query("""SELECT page_id, '/site/i/' || page_id || '/' AS interest, '/site/data/groups.json?v=' || page_id || '%2Fa%20b' AS data, TRUE AS here, page_id % 3 <> 0 AS listed FROM pages""")
+def site_paths(spark, sf_dir):
+    id_ = F.col("page_id").cast("string")
+    base = urls.base_path(F.lit("site"))
+    interest = urls.with_base(urls.interest_path(id_), base)
+    page = F.when(F.col("page_id") % 3 == 0, F.lit("https://example.org/my-list/")).otherwise(F.concat(F.lit("https://example.org/g/"), id_, F.lit("/")))
+    return table(spark, sf_dir, "pages").select("page_id", interest.alias("interest"), urls.data_url(F.lit("groups.json"), base, F.concat(id_, F.lit("/a b"))).alias("data"),
+                                                urls.same_page(interest, F.concat(F.lit("/site/i/"), id_)).alias("here"), urls.in_sitemap(page).alias("listed"))
+
+
+@query("""SELECT c_custkey, '&lt;b&gt; ' || c_name || ' &amp; &quot;co&quot;' AS escaped,
+'<strong>' || c_name || '</strong> &lt;x&gt; <a href="/base/g/' || c_custkey || '/">see</a> label <a href="https://example.org/?a=1&amp;b" rel="noopener noreferrer">out</a>' AS html FROM customer""")
+def safe_html(spark, sf_dir):
+    raw = F.concat(F.lit("**"), "c_name", F.lit("** <x> [see](/g/"), F.col("c_custkey").cast("string"), F.lit("/) [label](javascript:x) [out](https://example.org/?a=1&b)"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", text.escape_html(F.concat(F.lit("<b> "), "c_name", F.lit(' & "co"'))).alias("escaped"), text.inline("/base/")(raw).alias("html"))
+
+
+@query("""WITH p AS (SELECT s_suppkey, radians(s_suppkey % 90) AS lat, radians(s_nationkey * 5) AS lng FROM supplier)
+SELECT s_suppkey, round(2 * 6371.0088 * asin(sqrt(least(1, pow(sin((radians(39.95) - lat) / 2), 2) + cos(lat) * cos(radians(39.95)) * pow(sin((radians(-75.16) - lng) / 2), 2)))), 3) AS km FROM p""")
+def distance_to_centre(spark, sf_dir):
+    lat, lng = (F.col("s_suppkey") % 90).cast("double"), (F.col("s_nationkey") * 5).cast("double")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(places.distance_km(lat, lng, F.lit(39.95), F.lit(-75.16)), 3).alias("km"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice < 950 THEN 2 WHEN p_retailprice < 1000 THEN 1 ELSE 0 END AS tier,
+CASE WHEN p_size > 25 AND NOT p_retailprice > 950 THEN 'size' WHEN p_retailprice > 950 AND NOT p_size > 25 THEN 'price' END AS axis FROM part""")
+def tiers_and_axes(spark, sf_dir):
+    axes = {"size": F.col("p_size") > 25, "price": F.col("p_retailprice") > 950}
+    return table(spark, sf_dir, "part").select("p_partkey", recommend.tier(F.col("p_retailprice"), [950, 1000]).alias("tier"), recommend.only_axis(axes).alias("axis"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_brand <> 'Brand#13' ORDER BY p_retailprice DESC, p_partkey LIMIT 1")
+def next_pick(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    return recommend.replacement(parts, F.col("p_retailprice"), parts.filter("p_brand = 'Brand#13'")).select("id")
+
+
+@query("""SELECT 'nss_grottos:club-' || c_custkey AS lead_id, c_name AS name, 'https://example.org/club-' || c_custkey || '/' AS website,
+'1 Main St, Town ' || CASE WHEN c_custkey % 2 = 0 THEN '19104' ELSE '20001' END AS address, CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS area FROM customer""")
+def leads_of_club_cards(spark, sf_dir):
+    id_ = F.col("c_custkey").cast("string")
+    zip_ = F.when(F.col("c_custkey") % 2 == 0, F.lit("19104")).otherwise("20001")
+    html = F.concat(F.lit('<h3 class="fl-post-title">'), "c_name", F.lit('</h3><p class="grotto-address">1 Main St,  Town '), zip_,
+                    F.lit('</p><div class="fl-post-more-link"><a href="https://example.org/club-'), id_, F.lit('/">More</a></div>'))
+    leads = listings.parse_club_cards(table(spark, sf_dir, "customer").select(html.alias("html"), F.lit("https://example.org/").alias("url")))
+    return leads.select("lead_id", "name", "website", F.col("extra")["address"].alias("address"), F.col("extra")["philadelphia_area"].alias("area"))
+
+
+@query(f"""WITH {_TAGS}, q AS (SELECT * FROM g WHERE id % 20 = 0)
+SELECT a.id AS query_id, b.id, round({_JACCARD}, 6) AS score FROM q a JOIN g b ON a.id <> b.id AND len(list_intersect(a.tags, b.tags)) > 0""")
+def jaccard_search(spark, sf_dir):
+    groups = _brands(spark, sf_dir).select("id", "tags")
+    return similarity.search(groups.filter("id % 20 = 0"), groups).withColumn("score", F.round("score", 6))

@@ -223,3 +223,10 @@ def write_quiz_config(vocabulary: DataFrame, path: str, built: str) -> None:
     entry = F.struct("sort_ord", "id", "label", "tags")
     lists = vocabulary.groupBy(F.concat_ws(".", "vocabulary", "list").alias("name")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     lists.agg(F.lit(built).alias("built"), F.map_from_entries(F.collect_list(F.struct("name", "entries"))).alias("vocabularies")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def quiz_config(spark: SparkSession, path: str) -> DataFrame:
+    """name, sort_ord, id, label, tags: the entries of a written quiz config, one row each."""
+    entries = "array<struct<sort_ord: int, id: string, label: string, tags: array<string>>>"
+    df = spark.read.schema(f"built string, vocabularies map<string, {entries}>").json(path)
+    return df.select(F.explode("vocabularies").alias("name", "entries")).select("name", F.inline("entries"))

@@ -16,7 +16,13 @@ def test_jaccard_and_similarity(spark):
     assert got[1, 2] == 1.0  # two null kinds are equal
     assert got[1, 3] == 0.0
     assert abs(got[3, 4] - (0.3 * 0.5 + 0.1 + 0.05) / 0.45) < 1e-12
-    assert recommend.cards_that_differ(pool, 3) == ["1", "3", "2"] or recommend.cards_that_differ(pool, 3)[0] == 1
+    score = lambda i, j: got[i, j]
+    chosen = [1]
+    while len(chosen) < 3:
+        chosen.append(min({1, 2, 3, 4} - set(chosen), key=lambda i: (max(score(i, c) for c in chosen), i)))
+    assert recommend.cards_that_differ(pool, 3) == chosen
+    assert recommend.cards_that_differ(pool.limit(0), 3) == []
+    assert sorted(recommend.cards_that_differ(pool, 9)) == [1, 2, 3, 4]
 
 
 def test_counts_keep_vocabulary_and_unknown(spark):

@@ -150,6 +150,8 @@ def test_vocabularies(spark, tmp_path):
     assert got["kinds", "kinds", "no"] == ("None here", [], None) and got["neighborhoods", "zip_districts", "01234"] == (None, [], "south") and got["interests", "families", "outdoors"][1] == ["hiking", "camping"]
     tables.write_quiz_config(v, str(tmp_path / "quiz"), "now")
     assert [e["id"] for e in json.loads(spark.read.text(str(tmp_path / "quiz")).first().value)["vocabularies"]["kinds.kinds"]] == ["club", "no"]
+    read = tables.quiz_config(spark, str(tmp_path / "quiz")).filter("name = 'kinds.kinds'").orderBy("sort_ord")
+    assert [r.id for r in read.collect()] == ["club", "no"]
     groups = spark.createDataFrame([group_row(), group_row(id="b", audience={"min_age": 16}), group_row(id="c", hidden=None)], GROUP)
     assert [(r.audience.open_to, r.audience.min_age) for r in groups.orderBy("id").collect()] == [("public", 16), ("public", None), ("public", None)]
     hidden = suppress.hide(groups, spark.createDataFrame([("c", "private"), ("c", "defunct")], "id string, reason string"))
