@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import decontaminate, exact_dedup, language, merkle, mixing, ngram_join, secrets, substring_dedup, toxicity, url_filter, warc
+from mosaiq.llm import decontaminate, exact_dedup, language, merkle, mixing, ngram_join, phrases, secrets, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op12_merkle": merkle.op12_merkle,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLES = {
     "op1_url_filter": url_filter.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_warc": warc.OP6_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op12_merkle": merkle.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
