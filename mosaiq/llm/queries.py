@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import decontaminate, exact_dedup, language, merkle, mixing, ngram_join, phrases, secrets, substring_dedup, toxicity, url_filter, warc
+from mosaiq.llm import decontaminate, exact_dedup, language, merkle, mixing, ngram_join, phrases, secrets, substring_dedup, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_topk": topk.op11_topk,
     "op12_merkle": merkle.op12_merkle,
     "op13_phrases": phrases.op13_phrases,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_topk": topk.OP11_SQL,
     "op12_merkle": merkle.OP12_SQL,
     "op13_phrases": phrases.OP13_SQL,
 }
