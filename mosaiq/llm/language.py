@@ -10,7 +10,7 @@ The sample is bounded: `per_language` distinct documents of each language, those
 id and text, and `grams` n-grams of each.  Rows that cannot be among them are left out before any shuffle, by a bound on the hash that
 follows from the language's count of rows, so a language that most rows have sends no more rows to a task than others.  Null or letterless text is `und` with score 0.  Repeated
 rows are judged alike; a null doc_id is never learned from.  If nothing can be learned, all is `und`.
-All languages are learned; the n-grams kept, and with them the driver's memory, grow with their number.
+All languages with a letter in their texts are learned, however few those are; the n-grams kept, and with them the driver's memory, grow with their number.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from mosaiq.llm.common import Stage, mix, pair, small, table
 
 SIZES = (2, 3, 4)
 HASHES = 3
+FEW, DAMPED = 500, 2000
 _letters: list[np.ndarray] = []
 
 
@@ -101,7 +102,7 @@ def _place(grams: np.ndarray, k: int, n: int) -> np.ndarray:
 
 def learn_languages(docs: DataFrame, per_language: int = 1500, grams: int = 20_000, least: int = 5, share: float = 0.25) -> LanguageModel:
     """Learns from docs(doc_id, text, lang).  An n-gram belongs to a language if it occurs there `least` times and at
-    `share` of the rate of the language that has it most."""
+    `share` of the rate of the language that has it most.  Languages in which fewer than FEW n-grams occur so often keep all of theirs."""
     stage = Stage(docs.sparkSession, "language")
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
     known = known.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 11))
@@ -122,14 +123,18 @@ def learn_languages(docs: DataFrame, per_language: int = 1500, grams: int = 20_0
                 keys, n = np.unique(h[(langs == lang)[rows]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = stage.keep(counts)
+    strong = counts.groupBy("lang").agg(F.count_if(F.col("n") >= least).alias("strong"))
+    counts = counts.join(strong, "lang").filter((F.col("n") >= least) | (F.col("strong") < FEW))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     got = counts.withColumn("r", rank).filter(F.col("r") <= grams).select("lang", "gram", "n").toPandas()
     total = got.groupby("lang")["n"].sum()
     languages = sorted(total.index)
     bits = len(languages)
     dtype = np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
-    got["rate"] = got["n"] / got["lang"].map(total)
+    # The rates of a language with next to no text say little, so they are damped: it can't take common n-grams from others.
+    got["rate"] = got["n"] / (got["lang"].map(total) + DAMPED)
     got = got[got["rate"] >= share * got.groupby("gram")["rate"].transform("max")]
     # Each language is a filter of its own, so with room for 16 full ones any number has false rates under 1e-4.
     room = 8 * max(1, min(len(got), 16 * int(got["lang"].value_counts().max() if len(got) else 0)))

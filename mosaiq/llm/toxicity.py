@@ -281,6 +281,10 @@ def train(texts: list[bytes], labels: np.ndarray, toxic_share: float | None = No
     order = np.argsort(labels, kind="stable")  # so that each class gives a fifth
     apart = np.zeros(len(texts), bool)
     apart[order[::5]] = True
+    if min(labels.sum(), (1 - labels).sum()) < 5:  # too few to set any apart: all are learned from, and calibrate
+        model = fit(texts, labels)
+        calibrate(model, texts, labels, labels.mean() if toxic_share is None else toxic_share)
+        return model
     part = [[t for t, k in zip(texts, apart, strict=True) if k == want] for want in (False, True)]
     if labels[~apart].min() == labels[~apart].max() or not any(t.strip() for t in part[0]):
         return ToxicModel(np.zeros(BUCKETS), 0.0, blank=True)
@@ -289,18 +293,39 @@ def train(texts: list[bytes], labels: np.ndarray, toxic_share: float | None = No
     return model
 
 
+def _fitting(rows: list, most_bytes: int) -> list[tuple]:
+    """The rows(doc_id, toxic, bytes, h) of each class that fit, in order of h, each with whether its text must be cut."""
+    out = []
+    for toxic in (0, 1):
+        own = sorted((r for r in rows if r.toxic == toxic), key=lambda r: (r.h, r.doc_id))
+        left, fits = most_bytes, []
+        for r in own:
+            if r.bytes <= left:
+                left -= r.bytes
+                fits.append((r, False))
+        out += fits or [(r, True) for r in sorted(own, key=lambda r: (r.bytes, r.h))[:1]]
+    return out
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500, most_bytes: int = 32_000_000) -> ToxicModel:
-    """Fits on texts of docs(doc_id, text) that labels(doc_id, toxic) marks: `most` of each class at most, with `most_bytes` bytes at most."""
+    """Fits on texts of docs(doc_id, text) that labels(doc_id, toxic) marks: `most` of each class at most, with `most_bytes` bytes at most.
+
+    Texts are taken by the hash of their ids; one that does not fit into what is left of the bytes is passed over, and the next one tried.
+    Where none of a class fits, its shortest text is read in stretches spread over all of it."""
     stage = Stage(docs.sparkSession, "toxicity")
     clear = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
     near = lambda y: clear.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("key"))
-    # At most 2 * most rows, so they are broadcast, and their sizes summed in order.
+    # At most 2 * most rows, so they are broadcast, and their sizes go through the driver.
     marked = F.broadcast(stage.keep(near(0).unionByName(near(1))))
-    sized = (texts.join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("key", F.octet_length("text").cast("long").alias("bytes"))).alias("t"))
-             .withColumn("so_far", F.sum("t.bytes").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))))
-    fits = stage.keep(sized.filter(F.col("so_far") <= most_bytes).select("doc_id", "toxic", "t.key"))
-    sample = texts.join(F.broadcast(fits), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    sized = texts.join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("key", F.octet_length("text").cast("long").alias("bytes"))).alias("t"))
+    rows = sized.select("doc_id", "toxic", "t.key", "t.bytes", F.xxhash64("doc_id").alias("h")).collect()
+    picked = [(r.doc_id, r.toxic, r.key, cut) for r, cut in _fitting(rows, most_bytes)]
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic {labels.schema['toxic'].dataType.simpleString()}, key long, cut boolean"
+    fits = F.broadcast(docs.sparkSession.createDataFrame(picked, kinds))
+    n = max(1, most_bytes // 4000)  # stretches of 1,000 characters, of 4 bytes each at most
+    spread = F.expr(f"array_join(transform(sequence(0, {n - 1}), k -> substr(text, cast(1 + k * (length(text) / {n}) AS int), 1000)), ' ')")
+    sample = texts.join(fits, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "toxic", F.when(F.col("cut"), spread).otherwise(F.col("text")).alias("text"))
     share = clear.agg(F.avg("toxic")).first()[0]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

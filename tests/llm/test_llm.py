@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -760,7 +761,73 @@ def test_toxicity_sample_is_bounded_and_fixed(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
     a, b = toxicity.learn_toxicity(docs, labels), toxicity.learn_toxicity(docs.repartition(7, "text"), labels)
     assert (a.weights == b.weights).all() and a.bias == b.bias and not a.blank
-    assert toxicity.learn_toxicity(docs, labels, most_bytes=100).blank and not toxicity.learn_toxicity(docs, labels, most_bytes=2000).blank
+    assert not toxicity.learn_toxicity(docs, labels, most_bytes=2000).blank
+
+
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    """One very long labelled text, whichever comes first by hash, costs its own place alone; a class of long texts alone is read in stretches."""
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 30) + (" grobblehead" if k % 2 else "")) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    for long in (0, 1, 2, 3, 50, 51):
+        docs = spark.createDataFrame([(k, t if k != long else t * 3000) for k, t in rows], "doc_id long, text string")
+        model = toxicity.learn_toxicity(docs, labels, most_bytes=50_000)
+        score = model.scores([b"w1 w2 w3 w4 w5 w6", b"w1 w2 grobblehead w4 w5"])
+        assert not model.blank and score[0] < 0.5 < score[1]
+    docs = spark.createDataFrame([(k, t if k % 2 == 0 else t * 1000) for k, t in rows], "doc_id long, text string")
+    model = toxicity.learn_toxicity(docs, labels, most_bytes=60_000)
+    assert not model.blank and model.scores([b"w1 w2 w3 w4 w5 w6"])[0] < model.scores([b"w1 w2 grobblehead w4 w5"])[0]
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    """Scores of the query's own model by its definition, one text at a time: words and pieces, windows, means of subword vectors, softmax, calibration."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.randint(1, 40)) + (" grobblehead you fool" if k % 3 == 0 else "")) for k in range(150)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(150)], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(docs, labels)
+    texts = ["", "  ", "grobblehead", "fine words here", "x" * 90, "東京は晴れ", None] + [t for _, t in rows[:40]] + ["w1 w2 " * 300 + "you fool grobblehead " + "w3 w4 " * 300]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - plain_toxicity(model, t)) < 1e-9, t
+
+
+def plain_toxicity(model, text):
+    """The score of one text by definition; hashes alone are the library's."""
+    one = lambda x: np.array([x], np.uint64)
+    in_word = lambda c: c in "abcdefghijklmnopqrstuvwxyz0123456789" if ord(c) < 128 else unicodedata.category(c)[0] not in "ZP" and unicodedata.category(c) not in ("Cc", "Cf")
+    runs = "".join(c if in_word(c) else " " for c in re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).split()
+    parts = []
+    for run in (r.encode() for r in runs):
+        step = toxicity.PIECE - max(toxicity.GRAMS) + 1
+        n = -(-(len(run) - toxicity.PIECE) // step) + 1 if len(run) > toxicity.RUN else 1
+        parts += [(run[k * step:] if k == n - 1 else run[k * step:k * step + toxicity.PIECE], (k > 0) + 2 * (k < n - 1)) for k in range(n)]
+    values = []
+    for part, lacks in parts:
+        h = common.span_hashes(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]))
+        hashes = [common.mix(h + np.uint64(lacks)) if lacks else h]
+        marked = [1] * (not lacks & 1) + list(part) + [2] * (not lacks & 2)
+        for size in toxicity.GRAMS:
+            for at in range(len(marked) - size + 1):
+                level = common.mix(one(marked[at] + 99))
+                for b in marked[at + 1:at + size]:
+                    level = common.pair(level, common.mix(one(b + 99)))
+                hashes.append(level)
+        values.append(np.mean([model.weights[int(x[0]) % toxicity.BUCKETS] for x in hashes]))
+    if not values:
+        return toxicity.BLANK
+    n, wide, step = len(values), toxicity.WINDOW, toxicity.STEP
+    ends = sorted({min(n, k + wide) for k in range(0, max(1, n - wide + step), step)})
+    logit = max(np.mean(values[max(0, e - wide):e]) for e in ends) + model.bias
+    return 1 / (1 + np.exp(-(model.scale * logit + model.shift)))
+
+
+def test_languages_with_few_texts_are_learned(spark):
+    rng = random.Random(4)
+    word = {"en": "the quick brown fox over lazy dogs and then some".split(), "de": "der schnelle braune fuchs über faule hunde und dann".split()}
+    rows = [(k, prose(rng, 40, word[lang]), lang) for k, lang in enumerate(["en", "de"] * 60)] + [(900, "zvqo kwyx jjuk", "xx"), (901, "kwyx zvqo", "xx"), (902, "the", "yy"), (903, "123 456", "zz")]
+    model = language.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "xx", "yy"]
+    assert model.judge(["zvqo kwyx jjuk", "kwyx", "the lazy fox and some dogs", "der faule fuchs", "the quick dogs"])[0] == ["xx", "xx", "en", "de", "en"]
 
 
 def test_pipeline(spark, sf, odd):
