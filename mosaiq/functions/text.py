@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Mapping
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -19,14 +21,32 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-#: Letters with marks and their plain forms, for the ids of records.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāēīōūšžčćłń", "aaaaaaceeeeiiiinoooooouuuuyyaeiouszccln"
+@cache
+def _plain() -> tuple[str, str, str, list[str]]:
+    """NFKD over all of Unicode, cut down to ASCII: letters that become one ASCII character, those characters, letters that become
+    several (the longest first), and for each place the characters of those that reach it."""
+    one, several = {}, {}
+    for c in map(chr, range(128, 0x110000)):
+        if not 0xD800 <= ord(c) <= 0xDFFF:
+            plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            if plain:
+                (one if len(plain) == 1 else several)[c] = plain
+    many = sorted(several, key=lambda c: (-len(several[c]), c))
+    return "".join(one), "".join(one.values()), "".join(many), ["".join(several[c][k] for c in many if len(several[c]) > k) for k in range(len(several[many[0]]))]
+
+
+def ascii_form(x: Column) -> Column:
+    """x in Unicode's compatibility decomposition, without what is not ASCII: marks go, and letters that have no plain form."""
+    one, plain, many, places = _plain()
+    letters = F.transform(F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(F.instr(F.lit(many), c) > 0, F.concat(*[F.translate(c, many, p) for p in places])).otherwise(c))
+    spread = F.when(x.rlike(f"[{many}]"), F.array_join(letters, "")).otherwise(x)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spread, one, plain), r"[^\x00-\x7F]", "")).otherwise(x)
 
 
 def id_slug(x: Column, most: int = 64) -> Column:
-    """The slug of a record's id: marks dropped, & as and, apostrophes dropped, cut at a word's end within `most` characters."""
-    s = F.translate(F.lower(x), MARKED, PLAIN)
-    s = slug(F.regexp_replace(F.replace(s, F.lit("&"), F.lit(" and ")), "['’`]", ""))
+    """The slug of a record's id: ASCII form, & as and, apostrophes dropped, cut at a word's end within `most` characters."""
+    s = F.lower(ascii_form(F.regexp_replace(x, "['’`]", "")))
+    s = slug(F.replace(s, F.lit("&"), F.lit(" and ")))
     cut = F.regexp_replace(F.substring(s, 1, most), "-[^-]*$", "")
     return F.when(F.length(s) <= most, s).when(F.substring(s, most + 1, 1) == "-", F.substring(s, 1, most)).otherwise(cut)
 

@@ -1,4 +1,4 @@
-"""All queries over the given tables, and their DuckDB counterparts.
+"""Queries over the given tables, and their DuckDB counterparts; more of them in the modules beside this one.
 
 Each query applies library operators to whole tables, or, where an operator is a single Spark function, that function.
 The queries with a liked side take the customers up to id 5 as one person's picks.  Doubles are rounded and lists joined to texts, so that
@@ -7,35 +7,14 @@ both engines' results can be compared by value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import dates, text, urls
 from mosaiq.operators import browse, merge, places, recommend, similarity, suppress
+from mosaiq.plans.base import query, table
 from mosaiq.sources import listings
 from mosaiq.sources.leads import as_leads, with_note
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is one."""
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query("SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY ALL")
 def vocab_counts_zero_filled(spark, sf_dir):
     vocabulary = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("sort_ord"))
@@ -84,8 +63,7 @@ def consolidate_by_key(spark, sf_dir):
 SELECT field, count(*) AS n FROM e WHERE field IS NOT NULL GROUP BY field""")
 def provenance_field_counts(spark, sf_dir):
     fields = F.array_compact(F.array(F.lit("o_orderkey"), F.when(F.col("o_totalprice") > 100000, F.lit("o_totalprice")), F.concat(F.lit("o_"), F.lower("o_orderstatus"))))
-    records = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.lit("orders").alias("url"), fields.alias("fields"))).alias("sources"))
-    return merge.provenance_counts(records)
+    return merge.provenance_counts(table(spark, sf_dir, "orders").select(F.array(F.struct(F.lit("orders").alias("url"), fields.alias("fields"))).alias("sources")))
 
 
 @query("SELECT count(o_orderkey) AS n, count(DISTINCT o_orderkey) AS n_distinct, count(o_orderkey) = count(DISTINCT o_orderkey) AS is_unique FROM orders")
