@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators.geo import as_point, as_polygons
 from mosaiq.schema import GROUP, LEAD
 from mosaiq.sources.leads import as_leads, with_note
 
@@ -122,11 +123,27 @@ def json_rows(source: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, path: _general(spark.read.json(path, multiLine=True, primitivesAsString=True), source)
 
 
+def geo_layer(spark: SparkSession, path: str) -> DataFrame:
+    """The features of a GeoJSON layer: properties (a map of texts), lat and lng (of a point, else the mean of an outline's corners) and polygons (of areas)."""
+    feature = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
+    features = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True).select(F.explode("features").alias("f"))
+    kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    at = as_point(kind, coordinates)
+    return features.select(F.col("f.properties").alias("properties"), at["lat"].alias("lat"), at["lng"].alias("lng"), as_polygons(kind, coordinates).alias("polygons"))
+
+
 def geo_features(source: str) -> Callable[[SparkSession, str], DataFrame]:
-    """The features of a GeoJSON layer, their properties as columns."""
+    """Leads of a GeoJSON layer: id, name and city by the usual names of properties; all properties, and the place, in extra."""
     def read(spark: SparkSession, path: str) -> DataFrame:
-        features = spark.read.json(path, multiLine=True, primitivesAsString=True).select(F.explode("features").alias("f"))
-        return _general(features.select("f.properties.*"), source)
+        def first(names: tuple[str, ...]) -> Column:
+            held = F.map_filter("properties", lambda k, v: F.lower(k).isin(*names) & (F.trim(v) != ""))
+            by = F.transform_keys(held, lambda k, _: F.lower(k))
+            return F.coalesce(*[F.trim(F.try_element_at(by, F.lit(n))) for n in names])
+
+        place = F.map_filter(F.create_map(F.lit("lat"), F.col("lat").cast("string"), F.lit("lng"), F.col("lng").cast("string")), lambda _, v: v.isNotNull())
+        own = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string, string>")), lambda k, v: v.isNotNull() & ~k.isin("lat", "lng"))
+        extra = F.map_concat(own, place)
+        return as_leads(geo_layer(spark, path), source, native_id=first(_IDS), name=first(_NAMES), city=first(_CITIES), website=first(("website", "url")), extra=extra)
 
     return read
 
