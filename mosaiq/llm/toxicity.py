@@ -54,7 +54,8 @@ _between: list[np.ndarray] = []
 def between_table() -> np.ndarray:
     """Code points that end words: separators, punctuation, control and format characters (zero-width ones among them)."""
     if not _between:
-        _between.append(np.array([c[0] in "ZP" or c in ("Cc", "Cf") for c in map(unicodedata.category, map(chr, range(0x110000)))]))
+        kinds = map(unicodedata.category, map(chr, range(0x110000)))
+        _between.append(np.fromiter((c[0] in "ZP" or c in ("Cc", "Cf") for c in kinds), bool, 0x110000))
     return _between[0]
 
 
@@ -338,21 +339,24 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500, most_by
     return ToxicModel(np.frombuffer(m.weights), m.bias, m.scale, m.shift, m.blank) if m else ToxicModel(np.zeros(BUCKETS), 0.0, blank=True)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame:
-    """docs, whatever its columns, with the score of its text added under a name that it does not have yet."""
+def score_toxicity(docs: DataFrame, model: ToxicModel, name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs, whatever its columns, with the score of its text added under a name that it does not have yet.
+
+    keep: the columns that are given back, where not all are wanted; texts then go to the tasks and not back."""
     if name in docs.columns:
         raise ValueError(f"docs already has a column {name}")
+    kept = [docs.schema[c] for c in (docs.columns if keep is None else keep)]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, "text", 2_000_000):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(encoded(b.column("text"))))], [*b.schema.names, name])
+        for b in small(batches, "text", 750_000):
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(shared.value.scores(encoded(b.column("text"))))], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(~held))
-    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
