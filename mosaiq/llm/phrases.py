@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import Stage, encoded, only, small, table
 
 #: Bytes of text that a task counts in one go.  Longer texts are counted in stretches that end where a piece ends.
-FLUSH = 12_000_000
+FLUSH = 4_000_000
 #: Bytes of serialised tries that are merged in one task, about, and ranges that one pass cuts at most.
 RANGE, FAN = 2_000_000, 1024
+#: Nodes that are held unmerged, about.
+MERGED = 300_000
 #: A boundary is chosen from about so many phrases of the tries.
 MARKS = 8
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -92,9 +94,12 @@ class Trie:
     def part(self, starts: list[int], ends: list[int]) -> Trie:
         """The nodes from starts to ends of each level, which must hold their parents."""
         ids = [x[a:z] for x, a, z in zip(self.ids, starts, ends, strict=True)]
-        used = np.unique(np.concatenate(ids))
+        held = np.zeros(len(self.words), bool)
+        for x in ids:
+            held[x] = True
+        used, place = np.flatnonzero(held), np.cumsum(held) - 1
         parents = [x[a:z] - up for x, a, z, up in zip(self.parents, starts, ends, [0, *starts], strict=False)]
-        return Trie(self.words.take(pa.array(used)), parents, [np.searchsorted(used, x) for x in ids], [x[a:z] for x, a, z in zip(self.counts, starts, ends, strict=True)])
+        return Trie(self.words.take(pa.array(used)), parents, [place[x] for x in ids], [x[a:z] for x, a, z in zip(self.counts, starts, ends, strict=True)])
 
     def cut(self, bounds: list[list[bytes]]) -> Iterator[tuple[int, Trie]]:
         """The parts between bounds, by number: 0 is before the first.  Each has the beginnings of its own lower bound too."""
@@ -144,8 +149,9 @@ def count_phrases(texts: list[bytes], depth: int) -> Trie | None:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return None
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     words, ids = _ranked(_binary(ends - starts, data[~gap]))
+    del data, kind, gap, edge, starts, ends
     out = Trie(words, [np.zeros(len(words), np.int64)], [np.arange(len(words))], [np.bincount(ids)])
     node, first = ids, np.arange(len(ids))
     for d in range(1, depth):
@@ -196,8 +202,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _row(lang: str, lo: list[str] | None, n: int, trie: Trie, room: int) -> tuple:
     data = trie.dumps()
-    share = min(1.0, MARKS * len(data) / room / sum(len(x) for x in trie.ids))
-    return lang, lo, n, data, trie.marks(share, zlib.crc32(data) / 2**32)
+    share = min(1.0, MARKS * len(data) / room / sum(len(x) for x in trie.ids)) if room else 0.0
+    return lang, lo, n, data, trie.marks(share, zlib.crc32(data) / 2**32) if share else None
 
 
 def _stretches(text: bytes, most: int) -> Iterator[bytes]:
@@ -222,6 +228,7 @@ def _count(depth: int, flush: int, room: int):
                 if trie := count_phrases(texts, depth):
                     yield _batch([_row(lang, None, int(trie.counts[0].sum()), trie, room)])
             held.clear()
+            pa.default_memory_pool().release_unused()  # Arrow's pool else keeps what other tasks of this worker need
 
         for b in small(batches, "text"):
             for lang, text in zip(b.column("lang").to_pylist(), encoded(b.column("text")), strict=True):
@@ -262,12 +269,16 @@ def _lists(columns: list[pa.Array], n: int, kind: pa.DataType) -> pa.Array:
 def _merged(least: int):
     def merged(key: tuple, rows: pa.Table) -> pa.Table:
         """The phrases of a range that occur `least` times or more."""
-        tower: list[Trie] = []
-        for data in rows["trie"].to_pylist():
-            tower.append(Trie.loads(data))
-            while len(tower) > 1 and len(tower[-2].ids[-1]) <= 2 * len(tower[-1].ids[-1]):  # about equal ones, so that a node is merged a few times alone
-                tower[-2:] = [merge(tower[-2:])]
-        trie = merge(tower)
+        held: list[Trie] = []
+        size, most = 0, MERGED
+        for data in rows["trie"]:
+            held.append(Trie.loads(data.as_py()))
+            size += len(held[-1].ids[-1])
+            if size > most:  # a bounded number of nodes at a time, each node merged a few times alone
+                held = [merge(held)]
+                size = len(held[0].ids[-1])
+                most = max(MERGED, 2 * size)
+        trie = merge(held)
         lo = [w.encode() for w in key[1].as_py() or []]
         own = trie.find(lo)[1] if lo else []  # lo's beginnings belong to ranges before
         out = []
@@ -285,6 +296,7 @@ def _merged(least: int):
             inside = [_joined(trie.words, ids[a:a + m]) for m in range(2, d + 1) for a in range(d + 2 - m)]
             out.append(pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "phrase": _joined(trie.words, ids), "size": pa.array([d + 1] * n, pa.int32()), "a": pa.array(seen[-1]),
                                  "links": _lists(links, n, link), "inside": _lists(inside, n, pa.string())}))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return merged
@@ -311,8 +323,10 @@ def phrase_counts(docs: DataFrame, stage: Stage, depth: int = 3, least: int = 10
         marks = marks.filter(thin).groupBy("of", "from").agg(F.array_sort(F.collect_list("mark")).alias("marks"), F.max(wanted).alias("wanted"))
         picked = F.expr("array_distinct(transform(sequence(1, cast(wanted AS int) - 1), k -> element_at(marks, 1 + cast(k * size(marks) div wanted AS int))))")
         bounds = stage.keep(marks.select("of", "from", picked.alias("bounds")).withColumn("bounds", F.filter("bounds", lambda b: F.col("from").isNull() | (b > F.col("from")))))
-        cut = (tries.join(bounds, (F.col("lang") == F.col("of")) & F.col("lo").eqNullSafe(F.col("from")), "left").select("lang", "lo", "n", "trie", "bounds").mapInArrow(_cut(room), TRIES))
-        if most <= room * fan or most == largest:
+        last = most <= room * fan or most == largest
+        cut = (tries.join(bounds, (F.col("lang") == F.col("of")) & F.col("lo").eqNullSafe(F.col("from")), "left").select("lang", "lo", "n", "trie", "bounds")
+               .mapInArrow(_cut(0 if last else room), TRIES))  # the last pass needs no marks
+        if last:
             break
         largest, tries = most, stage.keep(cut)
     return stage.keep(cut.select("lang", "lo", "trie").groupBy("lang", "lo").applyInArrow(_merged(least), PHRASES)), words
