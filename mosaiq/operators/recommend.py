@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.operators.similarity import similarity
+from mosaiq.operators.columns import cut, fresh
+from mosaiq.operators.similarity import LISTS, most_alike, similarity
 
 
 def top_k(rows: DataFrame, score: Column, k: int, tie: str = "id") -> DataFrame:
@@ -20,6 +21,8 @@ def top_k(rows: DataFrame, score: Column, k: int, tie: str = "id") -> DataFrame:
 
 def top_k_per(rows: DataFrame, key: str, score: Column, k: int, tie: str = "id") -> DataFrame:
     """The k best rows of each key, with their rank.  Spark keeps k a key on each partition before it shuffles."""
+    if "rank" in rows.columns:
+        raise ValueError("rows already has a column rank")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(score.desc(), F.col(tie)))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -38,17 +41,20 @@ def replacement(rows: DataFrame, score: Column, shown: DataFrame, tie: str = "id
 
 def capped(rows: DataFrame, key: str, score: Column, cap: int, k: int, tie: str = "id") -> DataFrame:
     """The k best rows with at most `cap` of a key."""
-    return top_k(top_k_per(rows, key, score, cap, tie), score, k, tie)
+    nth, = fresh(rows, "nth")
+    own = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(score.desc(), F.col(tie)))).filter(F.col(nth) <= cap)
+    return top_k(own, score, k, tie).drop(nth)
 
 
 def relaxed(rows: DataFrame, constraints: list[Column]) -> DataFrame:
     """rows that pass the strictest level that any row passes, with the level: 0 keeps all constraints, 1 drops the last, and so on."""
     n = len(constraints)
     ok = [reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in constraints[:n - i]), F.lit(True)) for i in range(n + 1)]
+    if "level" in rows.columns:
+        raise ValueError("rows already has a column level")
     level = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(ok)])
-    levelled = rows.withColumn("level", level)
-    best = levelled.agg(F.min("level").alias("_best"))
-    return levelled.join(F.broadcast(best), F.col("level") == F.col("_best")).drop("_best")
+    levelled, (best,) = rows.withColumn("level", level), fresh(rows, "best")
+    return levelled.join(F.broadcast(levelled.agg(F.min("level").alias(best))), F.col("level") == F.col(best)).drop(best)
 
 
 def only_axis(axes: dict[str, Column]) -> Column:
@@ -62,19 +68,32 @@ def tier(score: Column, bounds: list[float]) -> Column:
     return sum((F.when(score < b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
+#: Scores that are equal to so many digits are equal.
+DIGITS = 9
+
+
 def cards_that_differ(pool: DataFrame, k: int) -> list:
     """Ids of k cards, each the one least like those before it; the first is the first by id, as is the first of equals.
 
-    The choice is sequential: k rounds over the whole pool, each with the fewer than k chosen cards broadcast and one id
-    returned to the driver.  Rows without an id are not chosen."""
-    cards = pool.filter("id IS NOT NULL")
+    The choice is sequential.  Each row keeps how alike it is to the chosen card that it is most alike, so a round compares the pool with the newest card
+    alone; that table is written each round, and one id goes through the driver.  Rows without an id are not chosen; of rows that repeat one, any is."""
+    features = [*LISTS, "kind", "size", "commitment"]
+    cards = cut(pool.filter("id IS NOT NULL").select("id", F.struct(*features).alias("a")).dropDuplicates(["id"]).withColumn("most", F.lit(0.0)))
     chosen = [r[0] for r in cards.agg(F.min("id")).collect() if r[0] is not None]
     while chosen and len(chosen) < k:
-        a = cards.filter(~F.col("id").isin(chosen)).select(F.col("id"), F.struct(*pool.columns).alias("a"))
-        b = cards.filter(F.col("id").isin(chosen)).dropDuplicates(["id"]).select(F.struct(*pool.columns).alias("b"))
-        most_alike = a.join(F.broadcast(b)).groupBy("id").agg(F.max(similarity("a", "b")).alias("score"))
-        best = most_alike.agg(F.min_by("id", F.struct("score", "id")).alias("id")).first().id
+        newest = F.broadcast(cards.filter(F.col("id") == chosen[-1]).select(F.col("id").alias("newest"), F.col("a").alias("b")))  # one row
+        alike = F.round(similarity("a", "b"), DIGITS)
+        cards = cut(cards.join(newest, F.col("id") != F.col("newest")).select("id", "a", F.greatest("most", alike).alias("most")))
+        best = cards.agg(F.min_by("id", F.struct("most", "id")).alias("id")).first().id
         if best is None:
             break
         chosen.append(best)
     return chosen[:k]
+
+
+def follow_ups(pool: DataFrame, liked: DataFrame, shown: DataFrame, k: int, cap: int = 2) -> DataFrame:
+    """id, kind, score of k groups to ask about next: the most alike to any liked one, none shown or liked before, `cap` of a kind at most."""
+    seen = shown.select("id").unionByName(liked.select("id"))
+    rest = pool.join(seen, "id", "left_anti")
+    scored = most_alike(rest, liked).join(rest.select("id", "kind"), "id").withColumn("score", F.round("score", DIGITS))
+    return capped(scored, "kind", F.col("score"), cap, k).select("id", "kind", "score")

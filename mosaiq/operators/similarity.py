@@ -39,6 +39,11 @@ def similarity(a: str, b: str, weights: Mapping[str, float] = WEIGHTS) -> Column
     return weighted(f, weights)
 
 
+def most_alike(candidates: DataFrame, liked: DataFrame) -> DataFrame:
+    """id, score: how alike each candidate is to the liked group that it is most alike."""
+    return scores(candidates, liked).groupBy("id").agg(F.max("score").alias("score"))
+
+
 def scores(candidates: DataFrame, liked: DataFrame, most_liked: int = 100) -> DataFrame:
     """id, liked_id, score of every candidate with every liked group.
 
@@ -49,13 +54,3 @@ def scores(candidates: DataFrame, liked: DataFrame, most_liked: int = 100) -> Da
     a = candidates.select("id", F.struct(*candidates.columns).alias("a"))
     b = liked.select(F.col("id").alias("liked_id"), F.struct(*liked.columns).alias("b"))
     return a.join(F.broadcast(b), F.col("id") != F.col("liked_id")).select("id", "liked_id", similarity("a", "b").alias("score"))
-
-
-def search(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """query_id, id, score: the Jaccard score of every query with every other row that shares a tag; queries and rows are (id, tags).
-
-    Rows meet by equal tags, so none is compared that shares nothing; shared tags are counted per pair before and after the shuffle."""
-    q = queries.select(F.col("id").alias("query_id"), F.array_distinct("tags").alias("tags")).select("query_id", F.size("tags").alias("n_query"), F.explode("tags").alias("tag"))
-    r = rows.select("id", F.array_distinct("tags").alias("tags")).select("id", F.size("tags").alias("n_row"), F.explode("tags").alias("tag"))
-    shared = q.join(r, "tag").filter("query_id <> id").groupBy("query_id", "id", "n_query", "n_row").agg(F.count("*").alias("both"))
-    return shared.select("query_id", "id", (F.col("both") / (F.col("n_query") + F.col("n_row") - F.col("both"))).alias("score"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mosaiq.functions import dates, text, urls
-from mosaiq.operators import browse, merge, places, recommend, similarity, suppress
+from mosaiq.operators import browse, merge, places, recommend, sets, similarity, suppress
 from mosaiq.plans.base import query, table
 from mosaiq.sources import listings
 from mosaiq.sources.leads import as_leads, with_note
@@ -461,7 +461,37 @@ def leads_of_club_cards(spark, sf_dir):
 
 
 @query(f"""WITH {_TAGS}, q AS (SELECT * FROM g WHERE id % 20 = 0)
-SELECT a.id AS query_id, b.id, round({_JACCARD}, 6) AS score FROM q a JOIN g b ON a.id <> b.id AND len(list_intersect(a.tags, b.tags)) > 0""")
+SELECT query_id, rank, id, round(score, 6) AS score FROM (
+  SELECT a.id AS query_id, b.id, {_JACCARD} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_JACCARD} DESC, b.id) AS rank
+  FROM q a JOIN g b ON a.id <> b.id AND len(list_intersect(a.tags, b.tags)) > 0) WHERE rank <= 10""")
 def jaccard_search(spark, sf_dir):
+    """The ten most alike of all customers for each one whose id is divisible by 20."""
     groups = _brands(spark, sf_dir).select("id", "tags")
-    return similarity.search(groups.filter("id % 20 = 0"), groups).withColumn("score", F.round("score", 6))
+    found = sets.most_alike_sets(groups.filter("id % 20 = 0"), groups, 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _sql_cards(k: int) -> str:
+    """Farthest first: round after round the least like of those before, by the score of _SCORED."""
+    score = ("round((0.3 * coalesce(j, 0) + 0.15 * fam + 0.1 * k + 0.05 * coalesce(s, 0)) / (CASE WHEN j IS NULL THEN 0 ELSE 0.3 END + 0.15 + 0.1 + CASE WHEN s IS NULL THEN 0 ELSE 0.05 END), 9)")
+    pair = (f"SELECT a.id, {_JACCARD} AS j, CAST(a.nation = b.nation AS DOUBLE) AS fam, CAST(a.kind IS NOT DISTINCT FROM b.kind AS DOUBLE) AS k, CASE WHEN a.size <> '' AND b.size <> '' THEN CAST(a.size = b.size AS DOUBLE) END AS s "
+            "FROM g a JOIN g b ON a.id <> b.id JOIN c{n} ON b.id = c{n}.id")
+    out = f"WITH {_TAGS}, m0 AS (SELECT id, 0.0::DOUBLE AS most FROM g), c0 AS (SELECT min(id) AS id FROM g)"
+    for n in range(k - 1):
+        out += f", f{n} AS ({pair.format(n=n)}), m{n + 1} AS (SELECT m{n}.id, greatest(most, {score}) AS most FROM m{n} JOIN f{n} ON f{n}.id = m{n}.id), c{n + 1} AS (SELECT id FROM m{n + 1} ORDER BY most, id LIMIT 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT {n + 1} AS card, id FROM c{n}" for n in range(k))
+
+
+@query(_sql_cards(5))
+def cards_that_differ(spark, sf_dir):
+    ids = recommend.cards_that_differ(_brands(spark, sf_dir), 5)
+    return spark.createDataFrame(list(enumerate(ids, 1)), "card int, id long")
+
+
+@query(_SCORED + """, best AS (SELECT id, round(max(score), 9) AS score FROM scored WHERE id % 10 <> 3 AND id > 5 GROUP BY id),
+n AS (SELECT id, kind, score, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS nth FROM best JOIN g USING (id))
+SELECT id, kind, round(score, 6) AS score FROM n WHERE nth <= 2 ORDER BY n.score DESC, id LIMIT 6""")
+def follow_up_picks(spark, sf_dir):
+    groups = _brands(spark, sf_dir)
+    out = recommend.follow_ups(groups, groups.filter("id <= 5"), groups.filter("id % 10 = 3"), 6)
+    return out.withColumn("score", F.round("score", 6))
