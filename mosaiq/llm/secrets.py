@@ -4,7 +4,8 @@ The rules are regexes over bytes (literals, classes, groups, alternatives, ? * +
 becomes a nondeterministic automaton (Thompson's construction), a deterministic one (subset construction) and a
 minimal one (partition refinement).  The combined automaton of all rules runs over the bytes once: texts are laid out in pieces of equal
 length that run side by side in numpy, and pieces that should not have begun in the start state run again up to where they
-agree with what is known, so a text without any separator costs no more than others.  It reports where a rule's match has become
+agree with what is known.  States that last through whole pieces are looked up from runs of all pieces side by side, so no piece waits for the one
+before, whatever the text: at most as many runs as the automaton has states, and two or three where one byte fills megabytes.  It reports where a rule's match has become
 long enough to be kept.  Around such places the rule's own automaton, anchored, reads off the spans: between
 bytes that no match of the rule can hold, the leftmost longest matches from left to right, of which those
 that are long enough are kept.
@@ -367,6 +368,22 @@ class Scanner:
         return [(s, e, kind) for s, _, e, kind in sorted(found)]
 
 
+def _rerun(flat: np.ndarray, grid: np.ndarray, trail: np.ndarray, lanes: np.ndarray, state: np.ndarray, write: bool) -> np.ndarray:
+    """Where the lanes end if they begin in the given states.  Each runs up to where it agrees with its trail; with write, the trail is put right."""
+    ends = trail[-1, lanes].astype(np.int64)
+    at = np.arange(len(lanes))
+    for i in range(len(grid)):
+        if not len(at):
+            break
+        state = flat[(state << 8) | grid[i, lanes[at]]].astype(np.int64)
+        new = state != trail[i, lanes[at]]
+        at, state = at[new], state[new]
+        if write:
+            trail[i, lanes[at]] = state
+    ends[at] = state
+    return ends
+
+
 def hits(data: np.ndarray, automaton: Automaton, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Places after whose byte a rule is accepted, and their rule masks."""
     n = len(data)
@@ -382,20 +399,30 @@ def hits(data: np.ndarray, automaton: Automaton, piece: int = 512) -> tuple[np.n
         trail[i] = state
     # A piece begins where the one before ends.  Those that were begun in another state run again, up to where nothing changes.
     begun = np.zeros(lanes, np.int64)
-    while True:
-        right = np.concatenate([[0], trail[-1, :-1].astype(np.int64)])
-        again = np.flatnonzero(right != begun)
-        if not len(again):
-            break
-        begun[again] = right[again]
-        state = right[again]
-        for i in range(piece):
-            state = flat[(state << 8) | grid[i, again]].astype(np.int64)
-            new = state != trail[i, again]
-            trail[i, again] = state
-            again, state = again[new], state[new]
-            if not len(again):
-                break
+    right = np.concatenate([[0], trail[-1, :-1].astype(np.int64)])
+    again = np.flatnonzero(right != begun)
+    _rerun(flat, grid, trail, again, right[again], write=True)
+    begun[again] = right[again]
+    again = np.flatnonzero(np.concatenate([[0], trail[-1, :-1].astype(np.int64)]) != begun)
+    if len(again):
+        # Pieces whose state goes on through the next one would wait for each other.  So all pieces run from each state that goes on
+        # (until no further one does), which gives where a piece ends for where it begins; a walk over the pieces looks that up.
+        known: dict[int, np.ndarray] = {}
+        todo = set(trail[-1, again - 1].tolist())
+        every, last = np.arange(lanes), trail[-1].astype(np.int64)
+        while todo:
+            state = todo.pop()
+            known[state] = _rerun(flat, grid, trail, every, np.full(lanes, state), write=False)
+            todo |= set(known[state][known[state] != last].tolist()) - known.keys()
+        state, wrong = int(last[again[0] - 1]), []
+        for k, (was, end) in enumerate(zip(begun[again[0]:].tolist(), last[again[0]:].tolist(), strict=True), int(again[0])):
+            if state == was:
+                state = end
+            else:
+                wrong.append((k, state))
+                state = int(known[state][k])
+        fix, states = np.array(wrong, np.int64).reshape(-1, 2).T
+        _rerun(flat, grid, trail, fix, states, write=True)
     where = np.flatnonzero((automaton.masks > 0)[trail].T.reshape(-1))
     where = where[where < n]
     return where, automaton.masks[trail[where % piece, where // piece]]

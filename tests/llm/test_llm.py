@@ -692,6 +692,30 @@ def test_secrets_consume_short_matches_and_unbroken_texts():
         assert spans([text]) == [secrets.exact_spans(text, rules)]
         times.append(time.process_time() - began)
     assert times[1] <= 3 * times[0] + 1
+    # States that last for megabytes, alone and one after the other.
+    prose_ = ", ".join(words)
+    for text in ("password" + " " * len(prose_), "password" + " " * (len(prose_) // 2) + "= abcdefgh " + "token=" + "aZ9+" * (len(prose_) // 8), "f" * len(prose_)):
+        began = time.process_time()
+        found = spans([text])
+        assert time.process_time() - began <= 3 * times[0] + 2
+        assert found == [secrets.exact_spans(text, rules)]
+
+
+def test_scan_of_lasting_states_at_random():
+    """Small pieces, so that states pass through many of them: the same places as one run from left to right."""
+    rng = random.Random(12)
+    automaton = secrets.Scanner.of(secrets.RULES).combined
+    for _ in range(60):
+        text = "".join(rng.choice(["password", " " * rng.randint(1, 40), "=", "token", "a" * rng.randint(1, 30), "0" * rng.randint(1, 50), "AKIA", "-----BEGIN ", "é", "\n"]) for _ in range(rng.randint(1, 40)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        state, want = 0, []
+        for k, byte in enumerate(data.tolist()):
+            state = int(automaton.step.reshape(-1)[state << 8 | byte])
+            if automaton.masks[state]:
+                want.append((k, int(automaton.masks[state])))
+        for piece in (1, 2, 5, 16):
+            where, what = secrets.hits(data, automaton, piece)
+            assert list(zip(where.tolist(), what.tolist(), strict=True)) == want
 
 
 def test_queries_agree_with_brute_force(spark, sf):
