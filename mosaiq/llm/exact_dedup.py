@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Stage, table
+from mosaiq.llm.common import Stage, sieve, table
 
 #: Fingerprints in a block of the merged filter, on average.
 PER_BLOCK = 200_000
@@ -195,9 +195,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
                               F.monotonically_increasing_id().alias("row")))
     repeated = stage.keep(repeated_fingerprints(base, base.count()))
     suspects = base.join(repeated.select("fp"), "fp", "left_semi")
-    # Raw texts are picked by their own hash, so that those alone are normalised again.
+    # Raw texts are picked by their own hash, so that those alone are normalised again.  Where the join shuffles, few others come along.
     asked = stage.keep(suspects.select("text_key").distinct())
-    verified = stage.keep(docs.select("text", F.xxhash64("text").alias("text_key"), "doc_id").join(asked, "text_key", "left_semi")
+    wanted = sieve(asked.select(F.col("text_key").alias("h")))
+    verified = stage.keep(docs.select("text", F.xxhash64("text").alias("text_key"), "doc_id").filter(wanted(F.col("text_key"))).join(asked, "text_key", "left_semi")
                           .groupBy(norm).agg(F.min("doc_id").alias("keep"), F.count("*").alias("size"))
                           .select(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep", "size"))
     stage.drop(asked)
