@@ -6,8 +6,10 @@ token under the global order of rarity, counted over all documents.  Document wo
 an equi-join on that token; the token's position bounds where the window must lie and whether it fits,
 and the words there are then compared one by one with the window.
 
-Windows are broadcast in parts of at most PART windows (about 50 MB), one pass over the documents for
-each part: the benchmark is the stated query set, and a larger one costs more passes, not more memory.
+Windows are broadcast in parts of at most PART windows and PART_BYTES of words on average, one pass over the documents for
+each part: the benchmark is the stated query set, and a larger one costs more passes, not more memory.  A window carries the
+number of its list of items, not the items: lists are joined when a document's hits are down to the distinct lists, so
+a line that very many items share costs its list once a document, however often it stands there.
 
 Null text has no words.  Repeated rows stay and are judged alike.  An empty benchmark hits nothing; an
 empty table gives an empty result.  Windows of items without an id hit like all others; null counts as one
@@ -27,7 +29,7 @@ LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows that are broadcast at once.
-PART = 200_000
+PART, PART_BYTES = 200_000, 64_000_000
 #: Stands after a document's words in the join, so that each document gives a row of its own.
 MARK = "\x00"
 
@@ -65,10 +67,10 @@ def prefix_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text), copies, n_words, hits: one row per distinct document.
 
-    hits: array of (start, length, items) of every occurrence of a window.  windows must be small enough to broadcast.
+    hits: array of (start, length, items) of every occurrence of a window; items is what the windows have under that name.  windows must be small enough to broadcast.
     """
     mark = F.array(F.lit(MARK))
-    none = F.array().cast("array<string>")
+    none = F.lit(None).cast(windows.schema["items"].dataType)
     listed = windows.select("token", "offset", "window", "items").unionByName(
         windows.sparkSession.range(1).select(F.lit(MARK).alias("token"), F.lit(0).alias("offset"), mark.alias("window"), none.alias("items")))
     d = docs.select("doc_id", F.xxhash64("text").alias("key"), F.concat(words_of(F.col("text")), mark).alias("words"))
@@ -88,22 +90,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     spark = docs.sparkSession
     stage = Stage(spark, "decontaminate")
     docs = docs.select("doc_id", "text")
-    windows = stage.keep(windows_of(benchmark.select("item_id", "text"), size))
-    n = windows.count()
+    listed = stage.keep(windows_of(benchmark.select("item_id", "text"), size))
+    lists = stage.keep(listed.select("items").distinct().withColumn("list", F.monotonically_increasing_id()))
+    windows = stage.keep(listed.join(lists, "items").select("window", F.col("list").alias("items")))
+    stage.drop(listed)
+    n, bytes_ = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("window", " "))), F.lit(0))).first()
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     # A vocabulary is at most `size` words a window, so it is broadcast under the same bound.
-    counts = word_counts(docs, F.broadcast(vocabulary) if n <= PART else vocabulary)
+    counts = word_counts(docs, F.broadcast(vocabulary) if n <= PART and bytes_ <= PART_BYTES else vocabulary)
     # Written first: a join right on top of its own aggregation could not be split at a word that very many windows have.
     ready = stage.keep(prefix_tokens(windows, stage.keep(counts)))
     stage.drop(windows)
-    parts = -(-n // PART) or 1
+    parts = max(-(-n // PART), -(-bytes_ // PART_BYTES), 1)
     found = reduce(DataFrame.unionByName, [find_windows(docs, ready if parts == 1 else ready.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k)) for k in range(parts)])
     if parts > 1:
         found = found.groupBy("doc_id", "key").agg(F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
     covered = F.expr("""aggregate(sort_array(hits), named_struct('n', 0, 'end', 0),
         (a, h) -> named_struct('n', a.n + greatest(0, h.start + h.length - greatest(h.start, a.end)), 'end', greatest(a.end, h.start + h.length)), a -> a.n)""")
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return (found.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), items.alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    held = stage.keep(found.select("doc_id", "key", "copies", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["items"])).alias("lists")))
+    named = (held.filter("n_hit > 0").select("doc_id", "key", F.explode("lists").alias("list")).join(lists, "list")
+             .groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))  # a document's distinct lists
+    out = held.join(named, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    return (out.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "key", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
             .select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"), F.col("key").alias("text_key")))
 
 

@@ -458,6 +458,22 @@ def test_language_of_seventy(spark):
     assert {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()} == {r.doc_id: r.lang for r in docs.collect()}
 
 
+def test_decontaminate_lists_shared_by_many_items(spark):
+    """A line of very many items costs its list once a document; windows are cut into parts by bytes too."""
+    line = "this line stands in every single item of the set"
+    items = [(k, line) for k in range(400)] + [(None, line), (1000, "w1 w2"), (1001, "x" * 300)]
+    docs = spark.createDataFrame([(1, f"{line} and " * 60 + "w1 w2"), (2, "w1 w2 " * 50), (3, "nothing"), (None, line), (4, "x" * 300)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {1: ({*map(str, range(400)), "1000", None}, 602), 2: ({"1000"}, 100), 3: (set(), 0), None: ({*map(str, range(400)), None}, 10), 4: ({"1001"}, 1)}
+    for most in (decontaminate.PART_BYTES, 100):
+        old, decontaminate.PART_BYTES = decontaminate.PART_BYTES, most
+        try:
+            got = {r.doc_id: ({*r["items"]}, r.n_hit) for r in decontaminate.decontaminate(docs, benchmark).collect()}
+        finally:
+            decontaminate.PART_BYTES = old
+        assert got == want
+
+
 def test_mixing(spark, odd):
     rng = random.Random(10)
     rows = [(k, prose(rng, rng.choice([1, 40, 300])), None if k % 5 == 4 else f"s{k % 5 if k % 10 else 0}") for k in range(150)] + [(1000, None, "empty"), (1001, "", "a")]
