@@ -346,8 +346,11 @@ def collocations(docs: DataFrame, depth: int = 3, least: int = 10, top: int = 20
     longer = counts.filter("size > 2").select("lang", F.explode("inside").alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", rank).filter(F.col("rank") <= top)
+    # A language's best are found in shares first, so that the last task of a language gets `top` rows of each share and not all its phrases.
+    shares = F.pmod(F.xxhash64("phrase"), F.lit(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    best = kept.withColumn("share", shares)
+    for keys in (["lang", "share"], ["lang"]):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))).filter(F.col("rank") <= top)
     return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
