@@ -17,7 +17,7 @@ NBSP = " "
 
 
 def slug(x: Column) -> Column:
-    """Lower case; runs of anything but a-z and 0-9 become one hyphen; none at the ends.  `O'Malley's Pub!` gives `o-malley-s-pub`."""
+    """Lower case; runs of anything but a-z and 0-9 become one hyphen; none at the ends.  `Rook & Raven's Loft?` gives `rook-raven-s-loft`."""
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
@@ -72,6 +72,30 @@ def collapse(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(x, rf"[\s{NBSP}]+", " ")), F.lit(""))
 
 
+#: Elements without an end tag.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def class_text(x: Column, css: str) -> Column:
+    """Text of the first element whose class list has a class, that of the elements within it included; null if there is none.
+
+    Tags and texts are taken one after the other, with the depth below the element that was found: it ends where its own end tag stands,
+    not at the first one.  An element that is never closed goes on to the end."""
+    parts = F.regexp_extract_all(x, F.lit(r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+|<"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
+
+    def step(s: Column, part: Column) -> Column:
+        tag = part.rlike("^</?[a-zA-Z]")
+        closes, name = part.startswith("</"), F.lower(F.regexp_extract(part, "^</?([a-zA-Z][^\\s/>]*)", 1))
+        empty = name.isin(*VOID) | part.endswith("/>")
+        found = tag & ~closes & ~empty & part.rlike(rf"""(?s)\sclass\s*=\s*(["'])([^"']*\s)?{css}(\s[^"']*)?\1""")
+        depth = F.when(s["done"], s["depth"]).when(s["depth"] == 0, F.when(found, 1).otherwise(0)).when(tag & ~empty, F.when(closes, s["depth"] - 1).otherwise(s["depth"] + 1)).otherwise(s["depth"])
+        taken = F.when(~s["done"] & (s["depth"] > 0), F.when(tag | part.startswith("<!--"), F.lit(" ")).otherwise(part)).otherwise(F.lit(""))
+        return F.struct(depth.alias("depth"), (s["done"] | ((s["depth"] > 0) & (depth == 0))).alias("done"), F.concat(s["text"], taken).alias("text"))
+
+    return collapse(unescape(F.aggregate(parts, start, step)["text"]))
+
+
 def strip_tags(x: Column, full: bool = False) -> Column:
     """Text of an HTML fragment: tags dropped, entities unescaped (with full, all of them), white space collapsed; null or blank is null."""
     text = F.regexp_replace(x, "<[^>]*>", " ")

@@ -57,9 +57,20 @@ def relaxed(rows: DataFrame, constraints: list[Column]) -> DataFrame:
     return levelled.join(F.broadcast(levelled.agg(F.min("level").alias(best))), F.col("level") == F.col(best)).drop(best)
 
 
+def axes_of(axes: dict[str, Column]) -> Column:
+    """The axes on which a pick stretches, in their order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in axes.items()]))
+
+
+def with_newcomers(score: Column, friendliness: Column, weight: float, best: int = 5) -> Column:
+    """score and friendliness to newcomers (1 to `best`) as a weighted mean; where it is not known, score alone."""
+    known = friendliness.between(1, best)
+    return F.when(known, score * (1 - weight) + (friendliness - 1) / (best - 1) * weight).otherwise(score)
+
+
 def only_axis(axes: dict[str, Column]) -> Column:
     """The one axis on which a pick stretches; null if there is none or several."""
-    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in axes.items()]))
+    names = axes_of(axes)
     return F.when(F.size(names) == 1, F.get(names, 0))
 
 

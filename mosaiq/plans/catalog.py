@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import dates, text, urls
 from mosaiq.operators import browse, merge, places, recommend, sets, similarity, suppress
+from mosaiq.operators.columns import cut
 from mosaiq.plans.base import query, table
 from mosaiq.sources import listings
-from mosaiq.sources.leads import as_leads, with_note
+from mosaiq.sources.leads import as_leads, typed_extra, with_note
 
 @query("SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY ALL")
 def vocab_counts_zero_filled(spark, sf_dir):
@@ -97,7 +98,7 @@ scored AS (SELECT id, liked_id, (0.3 * coalesce(j, 0) + 0.15 * fam + 0.1 * k + 0
 
 @query(f"WITH {_TAGS} SELECT a.id, b.id AS liked_id, round({_JACCARD}, 6) AS score FROM g a JOIN g b ON a.id <> b.id AND b.id <= 5")
 def jaccard_pairs(spark, sf_dir):
-    groups = _brands(spark, sf_dir).select("id", "tags")
+    groups = cut(_brands(spark, sf_dir).select("id", "tags"))
     liked = groups.filter("id <= 5").select(F.col("id").alias("liked_id"), F.col("tags").alias("liked_tags"))  # at most 5 rows
     pairs = groups.join(F.broadcast(liked), F.col("id") != F.col("liked_id"))
     return pairs.select("id", "liked_id", F.round(similarity.jaccard(F.col("tags"), F.col("liked_tags")), 6).alias("score"))
@@ -105,14 +106,14 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(_SCORED + " SELECT id, liked_id, round(score, 6) AS score FROM scored")
 def weighted_similarity(spark, sf_dir):
-    groups = _brands(spark, sf_dir)
+    groups = cut(_brands(spark, sf_dir))
     return similarity.scores(groups, groups.filter("id <= 5")).withColumn("score", F.round("score", 6))
 
 
 @query(_SCORED + """, best AS (SELECT id, round(max(score), 6) AS score FROM scored GROUP BY id)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM best QUALIFY rank BETWEEN 6 AND 25""")
 def top_k_liked_similarity(spark, sf_dir):
-    groups = _brands(spark, sf_dir)
+    groups = cut(_brands(spark, sf_dir))
     best = similarity.scores(groups, groups.filter("id <= 5")).groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
     return recommend.page(best, F.col("score"), 6, 20)
 
@@ -443,6 +444,14 @@ def tiers_and_axes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", recommend.tier(F.col("p_retailprice"), [950, 1000]).alias("tier"), recommend.only_axis(axes).alias("axis"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 AND p_retailprice > 950 THEN 'size,price' WHEN p_size > 25 THEN 'size' WHEN p_retailprice > 950 THEN 'price' ELSE '' END AS axes,
+round(CASE WHEN p_size BETWEEN 1 AND 5 THEN p_size / 50 * 0.75 + (p_size - 1) / 4 * 0.25 ELSE p_size / 50 END, 6) AS score FROM part""")
+def axes_and_newcomers(spark, sf_dir):
+    axes = {"size": F.col("p_size") > 25, "price": F.col("p_retailprice") > 950}
+    score = recommend.with_newcomers(F.col("p_size") / 50, F.col("p_size"), 0.25)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(recommend.axes_of(axes), ",").alias("axes"), F.round(score, 6).alias("score"))
+
+
 @query("SELECT p_partkey AS id FROM part WHERE p_brand <> 'Brand#13' ORDER BY p_retailprice DESC, p_partkey LIMIT 1")
 def next_pick(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
@@ -450,14 +459,14 @@ def next_pick(spark, sf_dir):
 
 
 @query("""SELECT 'nss_grottos:club-' || c_custkey AS lead_id, c_name AS name, 'https://example.org/club-' || c_custkey || '/' AS website,
-'1 Main St, Town ' || CASE WHEN c_custkey % 2 = 0 THEN '19104' ELSE '20001' END AS address, CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS area FROM customer""")
+'1 Main St, Town ' || CASE WHEN c_custkey % 2 = 0 THEN '19104' ELSE '20001' END AS address, c_custkey % 2 = 0 AS area FROM customer""")
 def leads_of_club_cards(spark, sf_dir):
     id_ = F.col("c_custkey").cast("string")
     zip_ = F.when(F.col("c_custkey") % 2 == 0, F.lit("19104")).otherwise("20001")
     html = F.concat(F.lit('<h3 class="fl-post-title">'), "c_name", F.lit('</h3><p class="grotto-address">1 Main St,  Town '), zip_,
                     F.lit('</p><div class="fl-post-more-link"><a href="https://example.org/club-'), id_, F.lit('/">More</a></div>'))
     leads = listings.parse_club_cards(table(spark, sf_dir, "customer").select(html.alias("html"), F.lit("https://example.org/").alias("url")))
-    return leads.select("lead_id", "name", "website", F.col("extra")["address"].alias("address"), F.col("extra")["philadelphia_area"].alias("area"))
+    return leads.select("lead_id", "name", "website", F.col("extra")["address"].alias("address"), F.variant_get(typed_extra(F.col("extra")), "$.philadelphia_area", "boolean").alias("area"))
 
 
 @query(f"""WITH {_TAGS}, q AS (SELECT * FROM g WHERE id % 20 = 0)
@@ -466,7 +475,7 @@ SELECT query_id, rank, id, round(score, 6) AS score FROM (
   FROM q a JOIN g b ON a.id <> b.id AND len(list_intersect(a.tags, b.tags)) > 0) WHERE rank <= 10""")
 def jaccard_search(spark, sf_dir):
     """The ten most alike of all customers for each one whose id is divisible by 20."""
-    groups = _brands(spark, sf_dir).select("id", "tags")
+    groups = cut(_brands(spark, sf_dir).select("id", "tags"))
     found = sets.most_alike_sets(groups.filter("id % 20 = 0"), groups, 10)
     return found.withColumn("score", F.round("score", 6))
 
@@ -492,6 +501,6 @@ def cards_that_differ(spark, sf_dir):
 n AS (SELECT id, kind, score, row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS nth FROM best JOIN g USING (id))
 SELECT id, kind, round(score, 6) AS score FROM n WHERE nth <= 2 ORDER BY n.score DESC, id LIMIT 6""")
 def follow_up_picks(spark, sf_dir):
-    groups = _brands(spark, sf_dir)
+    groups = cut(_brands(spark, sf_dir))
     out = recommend.follow_ups(groups, groups.filter("id <= 5"), groups.filter("id % 10 = 3"), 6)
     return out.withColumn("score", F.round("score", 6))

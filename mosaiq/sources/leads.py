@@ -29,3 +29,14 @@ def with_note(extra: Column, note: Column) -> Column:
     extra = F.coalesce(extra, F.create_map().cast("map<string, string>"))
     added = F.map_concat(F.map_filter(extra, lambda k, _: k != "note"), F.create_map(F.lit("note"), note))
     return F.when(F.coalesce(note, F.lit("")) != "", added).otherwise(extra)
+
+
+#: Entries of `extra` that are true or false.
+FLAGS = ("philadelphia_area",)
+
+
+def typed_extra(extra: Column, flags: tuple[str, ...] = FLAGS) -> Column:
+    """extra as a VARIANT object: the flags are booleans, everything else stays text."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[|\]$", "")
+    pairs = F.transform(F.map_entries(extra), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["key"].isin(*flags) & e["value"].isin("true", "false"), e["value"]).otherwise(F.coalesce(quoted(e["value"]), F.lit("null")))))
+    return F.parse_json(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))

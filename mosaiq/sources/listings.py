@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions.text import slug, strip_tags
+from mosaiq.functions.text import class_text, slug, strip_tags
 from mosaiq.sources.leads import as_leads
 
 
@@ -20,11 +20,6 @@ def _blocks(df: DataFrame, start: str) -> DataFrame:
     return df.select("url", F.posexplode(found).alias("pos", "block"))
 
 
-def _inner(x: Column, css: str) -> Column:
-    """Text of the first element whose class list has a class."""
-    return strip_tags(F.regexp_extract(x, rf'(?s)<(\w+)[^>]*class="[^"]*\b{css}\b[^"]*"[^>]*>(.*?)</', 2))
-
-
 def _href(x: Column, css: str) -> Column:
     return F.nullif(F.regexp_extract(x, rf"""(?s)class="[^"]*\b{css}\b[^"]*".*?<a[^>]*href=["']([^"']+)["']""", 1), F.lit(""))
 
@@ -37,7 +32,7 @@ def parse_club_cards(df: DataFrame) -> DataFrame:
     """Leads of pages with a heading, an address and a details link per club.  A club is in the area if its ZIP code begins so."""
     cards = _blocks(df, r'<h3[^>]*class="fl-post-title"')
     name = strip_tags(F.regexp_extract("block", r"(?s)<h3[^>]*>(.*?)</h\d>", 1))
-    address = _inner(F.col("block"), "grotto-address")
+    address = class_text(F.col("block"), "grotto-address")
     link = _href(F.col("block"), "fl-post-more-link")
     zip_ = F.regexp_extract(address, r"\b(\d{5})(?:-\d{4})?\s*$", 1)
     extra = F.map_filter(F.create_map(F.lit("address"), address, F.lit("philadelphia_area"), F.substring(zip_, 1, 3).isin(*AREA).cast("string")), lambda _, v: v.isNotNull())
