@@ -110,6 +110,14 @@ def weighted_similarity(spark, sf_dir):
     return similarity.scores(groups, groups.filter("id <= 5")).withColumn("score", F.round("score", 6))
 
 
+@query(_SCORED + " SELECT id, liked_id, round(score, 6) AS score FROM scored")
+def prepared_similarity(spark, sf_dir):
+    """weighted_similarity on groups whose lists are bitmaps."""
+    groups = cut(_brands(spark, sf_dir))
+    ready = cut(similarity.prepare(groups, similarity.build_catalog(groups)))
+    return similarity.prepared_scores(ready, ready.filter("id <= 5")).withColumn("score", F.round("score", 6))
+
+
 @query(_SCORED + """, best AS (SELECT id, round(max(score), 6) AS score FROM scored GROUP BY id)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM best QUALIFY rank BETWEEN 6 AND 25""")
 def top_k_liked_similarity(spark, sf_dir):

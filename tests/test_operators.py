@@ -25,6 +25,22 @@ def test_jaccard_and_similarity(spark):
     assert sorted(recommend.cards_that_differ(pool, 9)) == [1, 2, 3, 4]
 
 
+def test_prepared_groups_score_alike(spark):
+    import random
+
+    rng = random.Random(5)
+    tags = [f"t{k}" for k in range(150)]  # three numbers of bits
+    some = lambda: rng.choice([None, [], [rng.choice(tags) for _ in range(rng.randint(1, 40))] + [None, "t1", "t1"]])
+    rows = [(k, *[some() for _ in range(6)], rng.choice(["club", None]), rng.choice(["s", "", None]), None) for k in range(40)]
+    df = spark.createDataFrame(rows, "id int, tags array<string>, families array<string>, roles array<string>, formats array<string>, motives array<string>, crowd array<string>, kind string, size string, commitment string")
+    clean = df.select(*[F.array_compact(c).alias(c) if c in similarity.LISTS else c for c in df.columns])
+    ready = similarity.prepare(df, similarity.build_catalog(df))
+    want = {(r.id, r.liked_id): r.score for r in similarity.scores(clean, clean.filter("id < 10")).collect()}
+    got = {(r.id, r.liked_id): r.score for r in similarity.prepared_scores(ready, ready.filter("id < 10")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert similarity.prepare(df.limit(0), similarity.build_catalog(df.limit(0))).count() == 0
+
+
 def test_counts_keep_vocabulary_and_unknown(spark):
     rows = spark.createDataFrame([(["a", "a", "zz_top"], False), ([], None), (["b"], True)], "categories array<string>, hidden boolean")
     vocabulary = spark.createDataFrame([("a", "A", 1), ("b", "B", 2)], "id string, label string, sort_ord int")
