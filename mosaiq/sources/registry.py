@@ -22,8 +22,8 @@ REFERENCE = {"planning_districts"}
 
 HARVESTERS: dict[str, Harvester] = {
     **{name: tables.geo_features(name) for name in ("city_rco", "city_rco_points", "city_friends", "city_nac", "city_gardens", "city_libraries", "city_rec", "city_senior")},
-    "irs_bmf": tables.csv_rows("irs_bmf"),
-    "irs_990n": tables.csv_rows("irs_990n"),
+    "irs_bmf": tables.organisations("irs_bmf", tables.BMF, header=True, aka=("SORT_NAME",)),
+    "irs_990n": tables.organisations("irs_990n", tables.POSTCARD, header=False, sep="|", aka=("DBA_1", "DBA_2", "DBA_3")),
     "penn_clubs": tables.campus_clubs,
     "engage_drexel": tables.json_rows("engage_drexel"),
     "engage_ccp": tables.json_rows("engage_ccp"),

@@ -119,6 +119,33 @@ def csv_rows(source: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, path: _general(spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"'), source)
 
 
+#: Fixed: columns of the tax office's public extract of exempt organisations, which has a header, and of its file of small organisations, which has none.
+BMF = ("EIN NAME ICO STREET CITY STATE ZIP GROUP SUBSECTION AFFILIATION CLASSIFICATION RULING DEDUCTIBILITY FOUNDATION ACTIVITY ORGANIZATION STATUS TAX_PERIOD "
+       "ASSET_CD INCOME_CD FILING_REQ_CD PF_FILING_REQ_CD ACCT_PD ASSET_AMT INCOME_AMT REVENUE_AMT NTEE_CD SORT_NAME").split()
+POSTCARD = ("EIN TAX_YEAR NAME GROSS_RECEIPTS_UNDER TERMINATED PERIOD_BEGIN PERIOD_END WEBSITE OFFICER OFFICER_STREET OFFICER_STREET_2 OFFICER_CITY OFFICER_PROVINCE OFFICER_STATE OFFICER_ZIP OFFICER_COUNTRY "
+            "STREET STREET_2 CITY PROVINCE STATE ZIP COUNTRY DBA_1 DBA_2 DBA_3").split()
+
+
+def organisations(source: str, columns: list[str], header: bool, sep: str = ",", aka: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    """Leads of a file of organisations with the given columns, all of them texts; the id is the EIN with its leading zeros.
+
+    With a header, columns may stand in any order and be missing, but for EIN and NAME, which are an error; without one they stand in the given order.
+    Rows without an EIN are left out.  What a row has is kept in extra, but for the names of its officers and their addresses."""
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        schema = None if header else ", ".join(f"{c} string" for c in columns)
+        df = spark.read.csv(path, schema=schema, header=header, inferSchema=False, sep=sep, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        held = {c.strip().upper(): c for c in df.columns}
+        if missing := {"EIN", "NAME"} - held.keys():
+            raise ValueError(f"{source}: no column {sorted(missing)}")
+        value = lambda c: F.nullif(F.trim(F.col(f"`{held[c]}`")), F.lit("")) if c in held else F.lit(None).cast("string")
+        ein = F.lpad(F.regexp_replace(value("EIN"), "[^0-9]", ""), 9, "0")
+        kept = [c for c in columns if c in held and not c.startswith("OFFICER")]
+        extra = F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), ein if c == "EIN" else value(c))]), lambda _, v: v.isNotNull())
+        return as_leads(df.filter(value("EIN").rlike("[0-9]")), source, native_id=ein, name=value("NAME"), city=value("CITY"), website=value("WEBSITE"), aka=F.array_compact(F.array(*[value(c) for c in aka])), extra=extra)
+
+    return read
+
+
 def json_rows(source: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, path: _general(spark.read.json(path, multiLine=True, primitivesAsString=True), source)
 

@@ -96,6 +96,20 @@ def test_extras_keep_their_types(spark):
     assert got == {1: {"philadelphia_area": True, "note": 'a "quoted"\n é', "n": "true"}, 2: {}, 3: None, 4: {"philadelphia_area": "maybe"}}
 
 
+def test_organisations(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('NAME,EIN,CITY,ZIP,SORT_NAME,UNKNOWN\n"TIN, CUP & CO",12345678,TOWN,00123,,x\nNO NUMBER,,TOWN,1,,\n')
+    (lead,) = registry.HARVESTERS["irs_bmf"](spark, str(tmp_path / "b.csv")).collect()
+    assert (lead.lead_id, lead.name, lead.city, lead.aka, lead.extra) == ("irs_bmf:012345678", "TIN, CUP & CO", "TOWN", [], {"EIN": "012345678", "NAME": "TIN, CUP & CO", "CITY": "TOWN", "ZIP": "00123"})
+    (tmp_path / "bad.csv").write_text("NAME,CITY\na,b\n")
+    with pytest.raises(ValueError, match="EIN"):
+        registry.HARVESTERS["irs_bmf"](spark, str(tmp_path / "bad.csv"))
+    row = dict.fromkeys(tables.POSTCARD, "") | {"EIN": "009876543", "NAME": "Tin Cups", "CITY": "Hill", "WEBSITE": "tincups.example", "OFFICER": "A Person", "DBA_2": "Cup Club", "TERMINATED": "F"}
+    (tmp_path / "n.txt").write_text("|".join(row.values()) + "\n" + "009876544|2020|Short Row\n")
+    one, two = registry.HARVESTERS["irs_990n"](spark, str(tmp_path / "n.txt")).orderBy("lead_id").collect()
+    assert (one.lead_id, one.name, one.city, one.website, one.aka) == ("irs_990n:009876543", "Tin Cups", "Hill", "tincups.example", ["Cup Club"]) and one.extra["TERMINATED"] == "F" and "OFFICER" not in one.extra
+    assert (two.lead_id, two.name, two.city) == ("irs_990n:009876544", "Short Row", None)
+
+
 def test_readers_of_files(spark, tmp_path):
     """Each reader from a file of its own, as its harvester is given one."""
     from mosaiq.operators import suppress
