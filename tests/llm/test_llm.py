@@ -891,6 +891,41 @@ def test_pipeline(spark, sf, odd):
         assert step(spark, odd.limit(0), sf).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark, sf):
+    """Each stage on its own input, the documents, by a plain version of what it must keep."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {name: {r.doc_id: r for r in step(spark, docs, sf).collect()} for name, step in corpus_pipeline.STAGES}
+    model = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    short = [(i, t) for i, t in rows if len(t or "") < 1500]  # the plain version is slow
+    assert len(short) > 80
+    for i, t in short:
+        assert (i in kept["toxicity"]) == (plain_toxicity(model, t) < 0.5)
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    assert sorted(kept["exact_dedup"]) == sorted(first.values())
+    component = {i: c for i, (_, c) in brute_components(rows, 5, 80).items()}
+    assert sorted(kept["near_dedup"]) == sorted({*component.values()})
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    runs = lambda w, n: {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+    wanted = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        if w:
+            wanted[min(10, len(w))] |= runs(w, min(10, len(w)))
+    clean = [i for i, t in rows if not any(runs(words(t), n) & windows for n, windows in wanted.items())]
+    assert sorted(kept["decontaminate"]) == sorted(clean) and len(clean) < len(rows)
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows}
+    assert {i: r["size"] for i, r in kept["mixing"].items()} == sizes and all(0 <= r.taken <= 3 * r["size"] for r in kept["mixing"].values())
+    by = defaultdict(list)
+    for r in kept["mixing"].values():
+        by[r.target, r.source_size].append(r)
+    assert all(abs(sum(r.taken for r in rs) - target) <= max(256, 0.02 * target) for (target, _), rs in by.items() if len(rs) == sum(1 for r in kept["mixing"].values() if r.target == target))
+
+
 def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
