@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -128,8 +129,16 @@ def sieve(hashes: DataFrame):
 
 # ---- Arrow batches ---------------------------------------------------------------------------
 
+def give_back() -> None:
+    """Hands memory that is free but held by Arrow's pool and the allocator back: workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about `limit` bytes of the column (one row at least), so that memory stays bounded."""
+    """Slices of batches with about `limit` bytes of the column (one row at least), so that memory stays bounded; given back after the last one."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -139,6 +148,8 @@ def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000
         for a, z in zip(edges, edges[1:], strict=False):
             if z > a:
                 yield b.slice(a, z - a)
+        del b
+    give_back()
 
 
 def encoded(column: pa.Array) -> list[bytes]:

@@ -7,10 +7,10 @@ positives (its share of set bits to the power of the number of hashes), and the
 counts go to the language that sorts first.
 
 The sample is bounded: `per_language` distinct documents of each language, those with the smallest hash of
-id and text, and `grams` n-grams of each.  Rows that cannot be among them are left out before any shuffle, by a bound on the hash that
+id and text, and `grams` n-grams of each (fewer, where there are more than 64 languages, see ALL_GRAMS).  Rows that cannot be among them are left out before any shuffle, by a bound on the hash that
 follows from the language's count of rows, so a language that most rows have sends no more rows to a task than others.  Null or letterless text is `und` with score 0.  Repeated
 rows are judged alike; a null doc_id is never learned from.  If nothing can be learned, all is `und`.
-All languages with a letter in their texts are learned, however few those are; the n-grams kept, and with them the driver's memory, grow with their number.
+All languages with a letter in their texts are learned, however few those are.  Up to 6,400 of them the driver holds a fixed number of n-grams; beyond, 200 for each.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from mosaiq.llm.common import Stage, mix, pair, small, table
 SIZES = (2, 3, 4)
 HASHES = 3
 FEW, DAMPED = 500, 2000
+#: N-grams of all languages together, about, and of each one however many those are.
+ALL_GRAMS, LEAST_GRAMS = 1_280_000, 200
 _letters: list[np.ndarray] = []
 
 
@@ -128,6 +130,7 @@ def learn_languages(docs: DataFrame, per_language: int = 1500, grams: int = 20_0
     strong = counts.groupBy("lang").agg(F.count_if(F.col("n") >= least).alias("strong"))
     counts = counts.join(strong, "lang").filter((F.col("n") >= least) | (F.col("strong") < FEW))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    grams = min(grams, max(LEAST_GRAMS, ALL_GRAMS // max(1, below.count())))
     got = counts.withColumn("r", rank).filter(F.col("r") <= grams).select("lang", "gram", "n").toPandas()
     total = got.groupby("lang")["n"].sum()
     languages = sorted(total.index)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Stage, encoded, only, small, table
+from mosaiq.llm.common import Stage, encoded, give_back, only, small, table
 
 #: Bytes of text that a task counts in one go.  Longer texts are counted in stretches that end where a piece ends.
 FLUSH = 4_000_000
@@ -228,7 +228,6 @@ def _count(depth: int, flush: int, room: int):
                 if trie := count_phrases(texts, depth):
                     yield _batch([_row(lang, None, int(trie.counts[0].sum()), trie, room)])
             held.clear()
-            pa.default_memory_pool().release_unused()  # Arrow's pool else keeps what other tasks of this worker need
 
         for b in small(batches, "text"):
             for lang, text in zip(b.column("lang").to_pylist(), encoded(b.column("text")), strict=True):
@@ -296,7 +295,7 @@ def _merged(least: int):
             inside = [_joined(trie.words, ids[a:a + m]) for m in range(2, d + 1) for a in range(d + 2 - m)]
             out.append(pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "phrase": _joined(trie.words, ids), "size": pa.array([d + 1] * n, pa.int32()), "a": pa.array(seen[-1]),
                                  "links": _lists(links, n, link), "inside": _lists(inside, n, pa.string())}))
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.concat_tables(out)
 
     return merged
