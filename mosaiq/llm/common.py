@@ -137,7 +137,7 @@ def give_back() -> None:
         trim(0)
 
 
-def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about `limit` bytes of the column (one row at least), so that memory stays bounded; given back after the last one."""
     for b in batches:
         if not b.num_rows:
