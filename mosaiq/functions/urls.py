@@ -96,4 +96,5 @@ def host(raw: Column) -> Column:
 
 
 def in_sitemap(page: Column) -> Column:
-    return ~page.contains("/my-list/") & ~page.rlike("404/?$")
+    """My list is private and the 404 page, /404.html or the site's own /404/, is no page; ids that end in 404 are."""
+    return ~page.contains("/my-list/") & ~page.endswith("/404.html") & ~page.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)?/?404/?\z")

@@ -128,6 +128,11 @@ def test_sitemap(spark):
     assert [value(spark, urls.in_sitemap(F.col("x")), x=x) for x in ("/a/", "/my-list/", "/404/")] == [True, False, False]
 
 
+@pytest.mark.parametrize("x, want", [("https://example.org/g/404/", True), ("https://example.org/g/1404/", True), ("/i/a404", True), ("https://example.org/base/404.html", False), ("https://example.org/404/", False), ("/404.html", False)])
+def test_ids_that_end_in_404_are_pages(spark, x, want):
+    assert value(spark, urls.in_sitemap(F.col("x")), x=x) is want
+
+
 class First(html.parser.HTMLParser):
     """Text of the first element of a class, by a parser."""
 
