@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mosaiq.llm.common import Stage, encoded, mix, pair, small, span_hashes, table
+from mosaiq.llm.common import Stage, encoded, give_back, mix, pair, small, span_hashes, table
 
 BLANK = 0.01
 BUCKETS = 1 << 17
@@ -332,6 +332,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500, most_by
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(b.column("doc_id").to_pylist(), encoded(b.column("text")), b.column("toxic").to_pylist(), strict=True))
         m = train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.int64), share)
+        del rows
+        give_back()
         yield pa.RecordBatch.from_pylist([{"weights": m.weights.tobytes(), "bias": m.bias, "scale": m.scale, "shift": m.shift, "blank": m.blank}])
 
     # The sample is bounded, so one task can hold it; the driver gets the model alone.

@@ -947,3 +947,20 @@ def test_scans_read_needed_columns_alone(spark, sf):
     assert "html" not in executed(plan)
     plan = executed(decontaminate.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")))
     assert "lang" not in plan and "n_chars" not in plan
+
+
+def test_pipeline_sends_small_batches(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    try:
+        corpus_pipeline._small_batches(spark)
+        got = [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    finally:
+        for k in corpus_pipeline.BATCH:
+            spark.conf.unset(k)
+    assert sum(got) == 5000 and max(got) <= 1000
