@@ -224,15 +224,17 @@ class Join:
         passes = sieve(rows.select(F.xxhash64("rep").alias("h")))
         near = self.classes.select("rep", "prefix", "parity").filter(passes(F.xxhash64("rep")))
         self.near = self._spare(near.join(rows.select("rep").hint("merge"), "rep", "left_semi"))
-        out = self.block_pairs(rows.filter(F.col("k") <= BLOCK))
+        # Each step's pairs are written before the next step is planned: in one plan all their shuffles would be open in the driver at once.
+        out = self._spare(self.block_pairs(rows.filter(F.col("k") <= BLOCK)))
         large = rows.filter(F.col("k") > BLOCK)
         for shared in range(1, LEVELS + 1):
             if large.isEmpty():
                 return out
             rows = self.split(large, shared)
-            out = out.unionByName(self.small_pairs(rows.filter(F.col("k") <= SMALL), shared + 1)).unionByName(self.block_pairs(rows.filter((F.col("k") > SMALL) & (F.col("k") <= BLOCK)), shared + 1))
+            out = out.unionByName(self._spare(self.small_pairs(rows.filter(F.col("k") <= SMALL), shared + 1)))
+            out = out.unionByName(self._spare(self.block_pairs(rows.filter((F.col("k") > SMALL) & (F.col("k") <= BLOCK)), shared + 1)))
             large = rows.filter(F.col("k") > BLOCK)
-        return out.unionByName(self.block_pairs(large, LEVELS + 1))
+        return out.unionByName(self._spare(self.block_pairs(large, LEVELS + 1)))
 
     def block_pairs(self, rows: DataFrame, shared: int = 1) -> DataFrame:
         """All pairs of classes of a node with `shared` common n-grams that are in different components and pass the sketch, by pairs of blocks."""

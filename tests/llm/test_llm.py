@@ -203,6 +203,25 @@ def test_ngram_join_branches_and_blocks(spark, monkeypatch, levels):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_ngram_join_writes_each_steps_pairs(spark, monkeypatch):
+    """The steps below open nodes hand over written pairs, not one plan with the shuffles of all steps."""
+    rng = random.Random(9)
+    base = prose(rng, 60).split()
+    rows = [(k, " ".join(f"n{k}-{j}" if j in [(7 * k + 11 * i) % 60 for i in range(k % 5)] else w for j, w in enumerate(base))) for k in range(50)]
+    for name, value in (("PIVOTS", 1), ("BLOCK", 4), ("SMALL", 3), ("LEVELS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    plans, descend = [], ngram_join.Join.descend
+
+    def noted(self, rows):
+        out = descend(self, rows)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ngram_join.Join, "descend", noted)
+    ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).count()
+    assert plans and not any("Exchange" in p or "Join" in p for p in plans)
+
+
 def test_ngram_join_hot_ngram(spark):
     """5,000 unlike texts that share one rare passage, near copies among them."""
     rng = random.Random(15)
