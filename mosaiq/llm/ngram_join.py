@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import Stage, encoded, in_tree, mix, ngrams, pair, sieve, small, span_hashes, table, words
+from mosaiq.llm.common import Stage, encoded, give_back_driver, in_tree, mix, ngrams, pair, sieve, small, span_hashes, table, words
 from mosaiq.llm.components import components
 
 LAST = 2**63 - 1
@@ -77,23 +77,33 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def rarity(docs: DataFrame, size: int) -> np.ndarray:
     """A class of rarity for each bucket of n-grams: more for more frequent ones.  Counts cover all documents; they are
-    summed in a tree of tasks, and only the fixed-size sum comes to the driver."""
+    summed in a tree of tasks, and only the classes, a byte each, come to the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
         for b in small(batches, "text"):
             n += np.bincount(_bucket(shingles(encoded(b.column("text")), size)[1]), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([n.astype(np.int32 if n.max() < 2**31 else np.int64).tobytes()], pa.binary())], ["n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for x in b.column("n"):
                 x = x.as_buffer()
                 n += np.frombuffer(x, np.int32 if len(x) == 4 * BUCKETS else np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
+        return n
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([total(batches).tobytes()], pa.binary())], ["n"])
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([_classes(total(batches)).tobytes()], pa.binary())], ["classes"])
+
+    rows = in_tree(docs.select("text").mapInArrow(count, "n binary"), add, last=classes, schema="classes binary")
+    return np.frombuffer(rows[0].classes, np.uint8) if rows else _classes(np.zeros(BUCKETS, np.int64))
+
 
-    rows = in_tree(docs.select("text").mapInArrow(count, "n binary"), add)
-    n = sum((np.frombuffer(r.n, np.int32 if len(r.n) == 4 * BUCKETS else np.int64).astype(float) for r in rows), np.zeros(BUCKETS))
+def _classes(n: np.ndarray) -> np.ndarray:
+    n = n.astype(float)
     return np.clip(np.round(4 * np.log2((n + 1) / (n.mean() + 1))) + 20, 0, 63).astype(np.uint8)
 
 
@@ -161,6 +171,7 @@ class Join:
         out = self.stage.keep(df)
         self.stage.drop(*self.spares[since:])
         del self.spares[since:]
+        give_back_driver(self.stage.spark)
         return out
 
     def groups(self) -> DataFrame:
@@ -355,7 +366,10 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     left = join.unresolved(large, labels)
     stage.drop(groups)
     if not left.isEmpty():
-        labels = components(links.unionByName(join.links(join.descend(left))), stage)
+        more = join.links(join.descend(left))
+        if not more.isEmpty():  # the stars so far say what the links so far do, in fewer rows and rounds
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), stage)
+    give_back_driver(spark)
     named = same.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "first", F.coalesce("label", "rep").alias("label"))
     least = stage.keep(named.groupBy("label").agg(F.min("first").alias("component")))
     named = named.join(least.hint("merge"), "label").select("s1", "s2", "n", "label", "component")

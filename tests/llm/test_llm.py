@@ -222,6 +222,72 @@ def test_ngram_join_writes_each_steps_pairs(spark, monkeypatch):
     assert plans and not any("Exchange" in p or "Join" in p for p in plans)
 
 
+def test_ngram_join_sends_little_to_the_driver(spark, monkeypatch):
+    """Rarity comes to the driver as a byte a bucket, not as counts, and equals what the whole counts give."""
+    rng = random.Random(4)
+    texts = [prose(rng, 30) for _ in range(40)]
+    sent, in_tree = [], ngram_join.in_tree
+
+    def noted(*args, **more):
+        rows = in_tree(*args, **more)
+        sent.append(sum(len(r[0]) for r in rows))
+        return rows
+
+    monkeypatch.setattr(ngram_join, "in_tree", noted)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    n = np.bincount(ngram_join._bucket(ngram_join.shingles([t.encode() for t in texts], 4)[1]), minlength=ngram_join.BUCKETS)
+    whole = np.clip(np.round(4 * np.log2((n + 1) / (n.mean() + 1))) + 20, 0, 63)
+    assert (ngram_join.rarity(df, 4) == whole).all() and sent == [ngram_join.BUCKETS]
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_ngram_join_carries_stars_on(spark, monkeypatch, linked):
+    """The first components' stars, not all links again, go into the second; none are made where open nodes give no links."""
+    rng = random.Random(9)
+    base = prose(rng, 60).split()
+    rows = [(k, " ".join(f"n{k}-{j}" if j in [(7 * k + 11 * i) % 60 for i in range(k % 5)] else w for j, w in enumerate(base))) for k in range(50)]
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    taken, made, links, components = [], [], ngram_join.Join.links, ngram_join.components
+
+    def found(self, pairs):
+        out = links(self, pairs)
+        if taken and not linked:
+            out = out.limit(0)
+        taken.append(out.count())
+        return out
+
+    def noted(df, stage):
+        made.append((df.count(), components(df, stage)))
+        return made[-1][1]
+
+    monkeypatch.setattr(ngram_join.Join, "links", found)
+    monkeypatch.setattr(ngram_join, "components", noted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert len(taken) == 2 and made[0][0] == taken[0]
+    if linked:
+        assert got == brute_components(rows, 4, 85)
+    if taken[1]:
+        assert [n for n, _ in made] == [taken[0], made[0][1].count() + taken[1]]
+    else:
+        assert len(made) == 1
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """A stage of the pipeline begins with giving back what the ones before have left in the driver."""
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "give_back_driver", asked.append)
+    docs = spark.createDataFrame([(1, "a b c", "web")], "doc_id long, text string, source string")
+    before = {k: spark.conf.get(k) for k in corpus_pipeline.BATCH}
+    corpus_pipeline.mixing(spark, docs, "")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert asked == [spark]
+
+
 def test_ngram_join_hot_ngram(spark):
     """5,000 unlike texts that share one rare passage, near copies among them."""
     rng = random.Random(15)
