@@ -160,13 +160,17 @@ def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False, first:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs(doc_id: long, text); with texts, also `kept`, the
     words that stay, for the rows that lost some but not all.  first: see lengths(); it changes the work, not the result."""
     spark = docs.sparkSession
-    stage = Stage(spark, "substring-dedup")
+    stage = Stage(spark, "substring-dedup", free=True)
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("key"), "doc_id", "text")
     levels = lengths(size, first)
     level1 = stage.keep(docs.mapInArrow(_first_level(size, levels[0]), "did long, key long, doc_id long, n_words long, sha string, halves array<long>"))
     copies = level1.filter(F.col("n_words") >= size).groupBy("sha").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter("first < last").select("sha", "first")
     copies = stage.keep(copies)
-    standing = level1.join(copies, "sha", "left").filter("first IS NULL OR first = did").select("did", "key", "halves").filter("size(halves) > 0")
+    # Only rows that may have copies go through the join: the lists of all others stay where they are.
+    has_copies = sieve(copies.select(F.xxhash64("sha").alias("h")))(F.xxhash64("sha"))
+    rows = level1.select("did", "key", "sha", "halves").filter("size(halves) > 0")
+    firsts = stage.keep(rows.filter(has_copies).join(copies, "sha", "left").filter("first IS NULL OR first = did").select("did", "key", "halves"))
+    standing = rows.filter(~has_copies).select("did", "key", "halves").union(firsts)
     texts_left, survivors = docs.select("did", "key", "text"), None
     for k, length in enumerate(levels):
         if k:
@@ -179,13 +183,15 @@ def substring_dedup(docs: DataFrame, size: int = 50, texts: bool = False, first:
         if not k:  # most texts have nothing left, so they are not shuffled
             passes = sieve(alive.select(F.xxhash64("did", "key").alias("h")))
             texts_left = texts_left.filter(passes(F.xxhash64("did", "key")))
-        before, survivors = survivors, stage.keep(texts_left.join(alive, ["did", "key"]))
-        stage.drop(repeated, alive, *([before, standing] if k else []))
+        before, survivors = survivors, stage.keep(texts_left.join(alive, ["did", "key"]), compression="zstd")
+        stage.drop(repeated, alive, *([before, standing] if k else [firsts]))
         if survivors.isEmpty():
             break
-    windows = survivors.mapInArrow(_last_level(size, length), "h long, at long, did long, key long").withColumn("more", F.shiftrightunsigned("at", 48))
-    earliest = stage.keep(windows.groupBy("h", "more").agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z").select("h", "more", "a"))
-    starts = (windows.join(earliest, ["h", "more"]).filter("did > a")
+    windows = survivors.mapInArrow(_last_level(size, length), "h long, at long, did long, key long")
+    more = F.shiftrightunsigned("at", 48)
+    earliest = windows.groupBy("h", more.alias("more")).agg(F.min("did").alias("a"), F.max("did").alias("z")).filter("a < z")
+    earliest = stage.keep(earliest.select(F.col("h").alias("same"), "more", "a"))
+    starts = (windows.join(earliest, (F.col("h") == F.col("same")) & (more == F.col("more")) & (F.col("did") > F.col("a")))
               .groupBy("did", "key")
               .agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts")))  # a text's words, at most
     starts = stage.keep(starts)

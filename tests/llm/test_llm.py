@@ -718,6 +718,43 @@ def test_substring_dedup_many_texts_of_one_id(spark, same_id):
     assert listed(got) == sorted(want, key=str)
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_stage_frees_shuffles_of_written_tables(spark):
+    before, set_to = shuffle_files(spark), spark.conf.get(common.FREE, None)
+    kept = common.Stage(spark, "freed", free=True).keep(spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).count(), compression="zstd")
+    assert shuffle_files(spark) <= before and spark.conf.get(common.FREE, None) == set_to
+    assert kept.count() == 5_000 and kept.agg(F.sum("count")).first()[0] == 20_000
+
+
+def test_substring_dedup_does_not_shuffle_the_lists_of_documents_without_copies(spark):
+    """Few documents have copies; no join is broadcast, as on large tables."""
+    rng = random.Random(31)
+    rows = [(k, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))) for k in range(1500)]
+    rows += [(2000 + k, rows[k][1]) for k in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    set_to = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = listed(substring_dedup.substring_dedup(docs).select("doc_id", "n_removed"))
+        moved = (shuffled_bytes(spark) - before) / len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", set_to)
+    assert got == sorted([(k, 0) for k in range(1500)] + [(2000 + k, 400) for k in range(15)], key=str)
+    assert moved < 850  # bytes a document: 766; with every list through the join with copies 946
+
+
 def test_secrets_brute(spark):
     rng = random.Random(11)
     bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "api__key", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "\n", "é", "日本", "%", "x-1/2+3_.=", "ghp_", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----"]
