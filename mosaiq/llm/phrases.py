@@ -3,7 +3,8 @@
 Each task counts the phrases of its texts in tries of limited depth, one for each language: a level holds the phrases of one
 length, each as its parent in the level above, its last word and its count, sorted by words.  A trie is cut at
 phrases that split a language into ranges of about equal size, and the serialised pieces of a range from all tasks meet
-in one task, which merges these sorted runs level by level.  Boundaries are phrases of any length, taken from
+in one task, which merges these sorted runs level by level.  Where a language needs many ranges it is cut in several passes of few,
+and the tries of a range are merged in between, so that the number of pieces grows as the text and not as its square.  Boundaries are phrases of any length, taken from
 the tries themselves, so a first word (or pair of words) that starts a third of all phrases is split too.  A range whose boundary lies
 below some word carries that word as well, for its count, so each merged trie has the ancestors of all its phrases.
 
@@ -17,6 +18,7 @@ result.  Repeated rows count each.  Further columns of the table are not read.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +33,12 @@ from mosaiq.llm.common import Stage, encoded, give_back, only, small, table
 
 #: Bytes of text that a task counts in one go.  Longer texts are counted in stretches that end where a piece ends.
 FLUSH = 4_000_000
-#: Bytes of serialised tries that are merged in one task, about, and ranges that one pass cuts at most.
-RANGE, FAN = 2_000_000, 1024
-#: Nodes that are held unmerged, about.
-MERGED = 300_000
+#: Bytes of serialised tries that are merged in one task, about, and ranges that one pass cuts a range into at most.
+RANGE, FAN = 2_000_000, 256
+#: Nodes that are held unmerged, about, where ranges are merged and before tries are cut; bytes of a range's tries that meet in one task between passes, about.
+MERGED, HELD, DEALT = 1_000_000, 1_200_000, 8_000_000
+#: Bytes of tries in a batch, about.
+SENT = 1_000_000
 #: A boundary is chosen from about so many phrases of the tries.
 MARKS = 8
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -52,8 +56,7 @@ class Trie:
     counts: list[np.ndarray]
 
     def dumps(self) -> bytes:
-        lengths = pc.binary_length(self.words).to_numpy(zero_copy_only=False)
-        arrays = [lengths, np.frombuffer(b"".join(self.words.to_pylist()), np.uint8)]
+        arrays = list(_lengths_and_bytes(self.words))
         for up, ids, counts in zip(self.parents, self.ids, self.counts, strict=True):
             arrays += [np.diff(up, prepend=0), ids, counts]
         out = [len(self.ids).to_bytes(1, "little")]
@@ -91,25 +94,25 @@ class Trie:
             at.append(k + along)
         return at, path
 
-    def part(self, starts: list[int], ends: list[int]) -> Trie:
-        """The nodes from starts to ends of each level, which must hold their parents."""
+    def part(self, starts: list[int], ends: list[int], place: np.ndarray) -> Trie:
+        """The nodes from starts to ends of each level, which must hold their parents.  place is room for a number a word."""
         ids = [x[a:z] for x, a, z in zip(self.ids, starts, ends, strict=True)]
-        held = np.zeros(len(self.words), bool)
-        for x in ids:
-            held[x] = True
-        used, place = np.flatnonzero(held), np.cumsum(held) - 1
+        used = np.sort(np.concatenate(ids))  # not a walk over all words: most parts have few of them
+        used = used[np.append(True, used[1:] != used[:-1])]
+        place[used] = np.arange(len(used))
+        ids = [place[x] for x in ids]
         parents = [x[a:z] - up for x, a, z, up in zip(self.parents, starts, ends, [0, *starts], strict=False)]
-        return Trie(self.words.take(pa.array(used)), parents, [place[x] for x in ids], [x[a:z] for x, a, z in zip(self.counts, starts, ends, strict=True)])
+        return Trie(self.words.take(pa.array(used)), parents, ids, [x[a:z] for x, a, z in zip(self.counts, starts, ends, strict=True)])
 
     def cut(self, bounds: list[list[bytes]]) -> Iterator[tuple[int, Trie]]:
         """The parts between bounds, by number: 0 is before the first.  Each has the beginnings of its own lower bound too."""
-        last = [len(x) for x in self.ids]
+        last, place = [len(x) for x in self.ids], np.empty(len(self.words), np.int64)
         places = [([0] * len(last), [])] + [self.find(b) for b in bounds]
         for k, (at, path) in enumerate(places):
             ends = places[k + 1][0] if k + 1 < len(places) else last
             starts = [a - (d < len(path)) for d, a in enumerate(at)]
             if starts != ends:
-                yield k, self.part(starts, [max(z, a) for a, z in zip(at, ends, strict=True)])
+                yield k, self.part(starts, [max(z, a) for a, z in zip(at, ends, strict=True)], place)
 
     def marks(self, share: float, start: float) -> list[list[str]]:
         """Phrases at even steps, `share` of them on average.  start, from 0 to 1, is where in its step the first one stands."""
@@ -131,6 +134,13 @@ def _binary(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _lengths_and_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse of _binary, off the array's buffers."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1]
+    return np.diff(at), np.frombuffer(data, np.uint8)[at[0]:at[-1]]
+
+
 def _ranked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words, sorted, and each word's place among them."""
     coded = words.dictionary_encode()
@@ -166,7 +176,7 @@ def count_phrases(texts: list[bytes], depth: int) -> Trie | None:
 
 
 def merge(tries: list[Trie]) -> Trie:
-    """One trie of all counts.  numpy's stable sort of keys that stand in sorted runs is a merge of those runs."""
+    """One trie of all counts: equal keys are added up level by level, in any order."""
     words, place = _ranked(pa.concat_arrays([t.words for t in tries]))
     edges = np.cumsum([0, *(len(t.words) for t in tries)])
     out = Trie(words, [], [], [])
@@ -176,7 +186,7 @@ def merge(tries: list[Trie]) -> Trie:
         ids = np.concatenate([place[a + t.ids[d]] for a, t in zip(edges, tries, strict=False)])
         parents = node[np.concatenate([t.parents[d] + a for a, t in zip(above, tries, strict=True)])]
         keys = parents << 32 | ids
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys = keys[order]
         fresh = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
         node = np.empty(len(keys), np.int64)
@@ -191,19 +201,19 @@ def merge(tries: list[Trie]) -> Trie:
 
 # ---- tasks ------------------------------------------------------------------------------------
 
-TRIES = "lang string, lo array<string>, n long, trie binary, marks array<array<string>>"
+TRIES = "lang string, lo array<string>, n long, size long, trie binary, marks array<array<string>>"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     words = pa.list_(pa.string())
-    kinds = [pa.string(), words, pa.int64(), pa.binary(), pa.list_(words)]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "lo", "n", "trie", "marks"])
+    kinds = [pa.string(), words, pa.int64(), pa.int64(), pa.binary(), pa.list_(words)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "lo", "n", "size", "trie", "marks"])
 
 
 def _row(lang: str, lo: list[str] | None, n: int, trie: Trie, room: int) -> tuple:
     data = trie.dumps()
     share = min(1.0, MARKS * len(data) / room / sum(len(x) for x in trie.ids)) if room else 0.0
-    return lang, lo, n, data, trie.marks(share, zlib.crc32(data) / 2**32) if share else None
+    return lang, lo, n, len(data), data, trie.marks(share, zlib.crc32(data) / 2**32) if share else None
 
 
 def _stretches(text: bytes, most: int) -> Iterator[bytes]:
@@ -242,13 +252,40 @@ def _count(depth: int, flush: int, room: int):
     return count
 
 
-def _cut(room: int):
+def _cut(room: int, most: int = HELD):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list, list[Trie]]] = {}
+        size = 0
+
+        def parts() -> Iterator[tuple]:
+            for (lang, lo), (bounds, tries) in held.items():
+                trie = merge(tries) if len(tries) > 1 else tries[0]
+                tries.clear()
+                for k, part in trie.cut([[w.encode() for w in x] for x in bounds]):
+                    yield _row(lang, bounds[k - 1] if k else lo and list(lo), 0, part, room)
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows, sent = [], 0
+            for row in parts():
+                rows.append(row)
+                sent += row[3]
+                if sent > SENT:
+                    yield _batch(rows)
+                    rows, sent = [], 0
+            if rows:
+                yield _batch(rows)
+
         for b in small(batches, "trie"):
             for row in b.to_pylist():
-                bounds = row["bounds"] or []
-                for k, part in Trie.loads(row["trie"]).cut([[w.encode() for w in x] for x in bounds]):
-                    yield _batch([_row(row["lang"], bounds[k - 1] if k else row["lo"], 0, part, room)])
+                trie = Trie.loads(row["trie"])
+                # Tries of one range are merged before they are cut: fewer pieces, which share their words.
+                held.setdefault((row["lang"], row["lo"] and tuple(row["lo"])), (row["bounds"] or [], []))[1].append(trie)
+                size += sum(len(x) for x in trie.ids)
+                if size > most:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     return cut
 
@@ -313,22 +350,33 @@ def phrase_counts(docs: DataFrame, stage: Stage, depth: int = 3, least: int = 10
     words = stage.keep(tries.groupBy("lang").agg(F.sum("n").alias("n")))
     largest = None
     while True:
-        sizes = tries.groupBy("lang", "lo").agg(F.sum(F.length("trie")).alias("bytes"))
-        most = sizes.agg(F.max("bytes")).first()[0] or 0
+        sizes = tries.groupBy("lang", "lo").agg(F.sum("size").alias("bytes"))
+        most, total = (x or 0 for x in sizes.agg(F.max("bytes"), F.sum("bytes")).first())
+        passes = 1
+        while most > room * fan**passes:
+            passes += 1
+        last = passes == 1 or most == largest
+        # The passes share the work evenly: with n of them left each cuts into the n-th root of the ranges that are wanted in the end.
+        goal = room if last else most / math.ceil((most / room) ** (1 / passes))
         # A range's boundaries come from its tries' marks; more marks than needed are thinned by their hash.
-        wanted = F.least(F.lit(fan), F.ceil(F.col("bytes") / room))
-        marks = tries.select("lang", "lo", F.explode("marks").alias("mark"), F.monotonically_increasing_id().alias("at")).join(sizes.filter(F.col("bytes") > room).withColumnsRenamed({"lang": "of", "lo": "from"}), (F.col("lang") == F.col("of")) & F.col("lo").eqNullSafe(F.col("from")))
+        wanted = F.least(F.lit(fan), F.ceil(F.col("bytes") / goal))
+        marks = tries.select("lang", "lo", F.explode("marks").alias("mark"), F.monotonically_increasing_id().alias("at")).join(sizes.filter(F.col("bytes") > goal).withColumnsRenamed({"lang": "of", "lo": "from"}), (F.col("lang") == F.col("of")) & F.col("lo").eqNullSafe(F.col("from")))
         thin = F.pmod(F.xxhash64("mark", "at"), F.lit(1 << 20)) < (1 << 20) * F.least(F.lit(1.0), wanted * room / F.col("bytes"))
         marks = marks.filter(thin).groupBy("of", "from").agg(F.array_sort(F.collect_list("mark")).alias("marks"), F.max(wanted).alias("wanted"))
         picked = F.expr("array_distinct(transform(sequence(1, cast(wanted AS int) - 1), k -> element_at(marks, 1 + cast(k * size(marks) div wanted AS int))))")
         bounds = stage.keep(marks.select("of", "from", picked.alias("bounds")).withColumn("bounds", F.filter("bounds", lambda b: F.col("from").isNull() | (b > F.col("from")))))
-        last = most <= room * fan or most == largest
         cut = (tries.join(bounds, (F.col("lang") == F.col("of")) & F.col("lo").eqNullSafe(F.col("from")), "left").select("lang", "lo", "n", "trie", "bounds")
                .mapInArrow(_cut(0 if last else room), TRIES))  # the last pass needs no marks
         if last:
             break
-        largest, tries = most, stage.keep(cut)
-    return stage.keep(cut.select("lang", "lo", "trie").groupBy("lang", "lo").applyInArrow(_merged(least), PHRASES)), words
+        # The tries of a range stand together in a few tasks, so that the next pass merges them before it cuts.
+        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(math.ceil(goal / DEALT)))
+        cut = cut.withColumn("dealt", dealt).repartition(math.ceil(total / DEALT), "lang", "lo", "dealt").drop("dealt").sortWithinPartitions("lang", "lo")
+        before, largest, tries = tries, most, stage.keep(cut)
+        stage.drop(before)
+    counts = stage.keep(cut.select("lang", "lo", "trie").groupBy("lang", "lo").applyInArrow(_merged(least), PHRASES))
+    stage.drop(tries)
+    return counts, words
 
 
 def collocations(docs: DataFrame, depth: int = 3, least: int = 10, top: int = 2000, share: int = 50) -> DataFrame:
@@ -336,7 +384,7 @@ def collocations(docs: DataFrame, depth: int = 3, least: int = 10, top: int = 20
 
     A phrase counts if it occurs `least` times and no longer one that holds it has `share` per cent of its occurrences.
     Its score is the least, over its cuts in two, of floor(10^6 a^2 / (l r)), in decimals of 38 digits: exact up to counts of 10^16."""
-    stage = Stage(docs.sparkSession, "phrases")
+    stage = Stage(docs.sparkSession, "phrases", free=True)
     counts, words = phrase_counts(docs, stage, depth, least)
     known = counts.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r"))
     links = counts.filter("size > 1").select("lang", "phrase", "a", F.posexplode("links").alias("k", "link")).select("lang", "phrase", "a", "k", "link.*")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from mosaiq.llm import phrases
@@ -120,3 +121,20 @@ def test_nothing_and_large_counts(spark):
     a = 9 * 10**15
     got = spark.sql(f"SELECT (cast({a}L AS decimal(38,0)) * {a}L * 1000000) div (cast({a + 1}L AS decimal(38,0)) * {a + 2}L) AS s").first().s
     assert got == 10**6 * a * a // ((a + 1) * (a + 2))
+
+
+def test_tries_of_a_range_are_merged_before_they_are_cut():
+    """Pieces are as many as ranges, not tries times ranges, which would grow as the square of the text; a task that holds too much cuts in between."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("a ab b ba c".split()) for _ in range(200)).encode()
+    texts = [text() for _ in range(6)]
+    whole = phrases.count_phrases(texts, 3)
+    bounds = sorted(whole.phrase(d, sum(len(x) for x in whole.ids[:d]) + k) for d, k in ((1, 3), (1, 9), (2, 40), (2, 90)))
+    rows = [("en", None, 1, b"", phrases.count_phrases([t], 3).dumps(), bounds) for t in texts]
+    names = ["lang", "lo", "n", "size", "trie", "bounds"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    for most, pieces in ((10**6, len(bounds) + 1), (1, 6 * (len(bounds) + 1))):
+        got = [r for b in phrases._cut(0, most)(iter([batch])) for r in b.to_pylist()]
+        assert len(got) == pieces and {tuple(r["lo"] or ()) for r in got} == {(), *map(tuple, bounds)}
+        merged = phrases.merge([phrases.Trie.loads(r["trie"]) for r in got])
+        assert [x.tolist() for x in merged.ids] == [x.tolist() for x in whole.ids] and merged.counts[2].tolist() == whole.counts[2].tolist()
